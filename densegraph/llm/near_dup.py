@@ -25,8 +25,8 @@ from densegraph.llm.common import HashCache, mix, multipliers, save, window_hash
 #: A pair at similarity 0.8 shares none of 36 bands of 5 samples with a chance of 6e-7.
 BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
-#: Longs of a sketch, and how far below the threshold an estimate may be before a pair is ruled out (over 5 standard deviations).
-SKETCH_LONGS, SLACK = 8, 0.17
+#: Longs of a sketch, and how far below the threshold an estimate may be before a pair is ruled out (4 standard deviations).
+SKETCH_LONGS, SLACK = 8, 0.12
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 
@@ -103,7 +103,7 @@ def alike(a: str, b: str, similarity: float) -> Column:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (hub, node) whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("hub", "node")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -156,21 +156,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     members = classes.select("node", F.explode("bands").alias("band"))
     figures = classes.select("node", "n_shingles", *SKETCH)
 
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = members.join(hubs, "band").where("node <> hub").select("hub", "node").distinct()
-    x = stars.join(figures.alias("p"), F.col("p.node") == stars["node"]).join(figures.alias("q"), F.col("q.node") == stars["hub"])
-    pairs = save(x.where(alike("p", "q", similarity)).select(stars["hub"], stars["node"]).distinct())
-    links = save(confirmed(pairs, docs, width, percent))
-    named = components(links)
+    # Hubs, other ones each time, for the buckets that still hold several components.
+    rest, links, pairs, named = members.withColumn("component", F.col("node")), None, None, None
+    for rank in (-F.col("node"), F.col("node"), F.xxhash64("node")):
+        hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        stars = rest.join(hubs.where("lo < hi"), "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+        x = stars.join(figures.alias("p"), F.col("p.node") == stars["node"]).join(figures.alias("q"), F.col("q.node") == stars["hub"])
+        new = x.where(alike("p", "q", similarity)).select(stars["hub"], stars["node"]).distinct()
+        new = save(new if pairs is None else new.join(pairs, ["hub", "node"], "left_anti"))
+        found = save(confirmed(new, docs, width, percent))
+        pairs, links = (new, found) if pairs is None else (pairs.unionByName(new), links.unionByName(found))
+        named = components(links)
+        at = members.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+        rest = save(at.join(open_bands, "band", "left_semi"))
 
     # Pairs across components that share a bucket: what the hubs may have missed.
-    at = members.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = save(at.join(open_bands, "band", "left_semi").join(figures, "node"))
+    rest = save(rest.join(figures, "node"))
     p, q = rest.alias("p"), rest.alias("q")
     across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & alike("p", "q", similarity))
-    more = across.select(F.col("p.node").alias("hub"), F.col("q.node").alias("node")).distinct().join(pairs, ["hub", "node"], "left_anti")
-    more = save(more.join(pairs.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["hub", "node"], "left_anti"))
+    found = across.select(F.least("p.node", "q.node").alias("hub"), F.greatest("p.node", "q.node").alias("node")).distinct()
+    more = save(found.join(pairs, ["hub", "node"], "left_anti"))
     if not more.isEmpty():
         named = components(links.unionByName(confirmed(more, docs, width, percent)))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from densegraph.llm.common import HashCache, save, shared_folder, window_hashes
 
 #: Windows, and documents, after which a chunk is closed.
-CHUNK_WINDOWS, CHUNK_DOCS = 2_000_000, 60_000
+CHUNK_WINDOWS, CHUNK_DOCS = 4_000_000, 60_000
 #: Run rows: kind 0 a sorted run of the batch, 1 windows already known to be repeated, 2 a run of an earlier batch.
 RUN = "part int, kind int, chunk long, hashes binary, checks binary, holders binary, ids binary"
 RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
@@ -54,7 +54,7 @@ def windows(words: list[bytes], width: int, cache: HashCache) -> tuple[np.ndarra
 
 def parts_for(docs: DataFrame) -> int:
     """Hash ranges: a power of two that grows with the input, so that a range's runs fit a task."""
-    return 1 << max(5, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
+    return 1 << max(5, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
 
 
 def runs(docs: DataFrame, width: int, parts: int) -> DataFrame:
@@ -71,13 +71,13 @@ def runs(docs: DataFrame, width: int, parts: int) -> DataFrame:
         fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         first = owners[holder[fresh]][np.cumsum(fresh) - 1]  # the least id that holds the entry's window here
         later = owners[holder] > first
-        table = owners.tobytes()
+        table = np.diff(owners, prepend=0).tobytes()  # neighbours differ by little, which shuffle files compress
         edges = np.searchsorted(h[~later], np.arange(1, parts, dtype=np.uint64) << shift)
         for p, (hs, cs, os) in enumerate(zip(*(np.split(x[~later], edges) for x in (h, c, holder)), strict=True)):
             if len(hs):
                 yield p, 0, chunk, packed(hs), cs.tobytes(), os.tobytes(), table
         if later.any():
-            yield chunk % parts, 1, chunk, h[later].tobytes(), None, holder[later].tobytes(), table
+            yield chunk % parts, 1, chunk, packed(h[later]), None, holder[later].tobytes(), table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -119,7 +119,7 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return (*(np.empty(0, t) for t in (np.uint64, np.uint16, np.int64, np.int64)), rows)
     h = [unpacked(r["hashes"]) for r in rows]
     c = np.concatenate([np.frombuffer(r["checks"], np.uint16) for r in rows])
-    owner = [np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["holders"], np.uint16)] if r["kind"] == 0 else np.full(len(x), np.iinfo(np.int64).min) for r, x in zip(rows, h, strict=True)]
+    owner = [np.cumsum(np.frombuffer(r["ids"], np.int64))[np.frombuffer(r["holders"], np.uint16)] if r["kind"] == 0 else np.full(len(x), np.iinfo(np.int64).min) for r, x in zip(rows, h, strict=True)]
     source = np.repeat(np.arange(len(rows)), [len(x) for x in h])
     h, owner = np.concatenate(h), np.concatenate(owner)
     order = np.lexsort((owner, c, h))
@@ -142,16 +142,16 @@ def merge(table: pa.Table) -> pa.Table:
         for i in np.unique(sl):
             mine = slice(*np.searchsorted(sl, [i, i + 1]))
             holders = np.frombuffer(rows[i]["holders"], np.uint16)[el[mine]]
-            out.append({"chunk": rows[i]["chunk"], "hashes": hl[mine].tobytes(), "holders": holders.tobytes(), "ids": rows[i]["ids"]})
+            out.append({"chunk": rows[i]["chunk"], "hashes": packed(hl[mine]), "holders": holders.tobytes(), "ids": rows[i]["ids"]})
     return pa.Table.from_pylist(out, FOUND_SCHEMA)
 
 
 def by_document(table: pa.Table) -> pa.Table:
     """What one chunk was told, as a row for each document."""
     rows = table.to_pylist()
-    ids = np.frombuffer(rows[0]["ids"], np.int64)
+    ids = np.cumsum(np.frombuffer(rows[0]["ids"], np.int64))
     holders = np.concatenate([np.frombuffer(r["holders"], np.uint16) for r in rows])
-    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    hashes = np.concatenate([unpacked(r["hashes"]) for r in rows])
     order = np.argsort(holders, kind="stable")
     own, at = np.unique(holders[order], return_index=True)
     return pa.table({"doc_id": pa.array(ids[own]), "repeated": pa.array([x.tobytes() for x in np.split(hashes[order], at[1:])], pa.binary())})
@@ -211,7 +211,7 @@ class FingerprintIndex:
         past = self.history()
         told = (batch.unionByName(past) if past is not None else batch).groupBy("part").applyInArrow(merge, FOUND)
         out = told.groupBy("chunk").applyInArrow(by_document, "doc_id long, repeated binary")
-        out = save(out.groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated")))
+        out = out.groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
         if self.folder:
             self.paths.append(self._write(batch.where("kind = 0")))
             if len(self.paths) > self.most_runs:
