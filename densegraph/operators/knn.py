@@ -116,8 +116,11 @@ def local_join(sample: DataFrame, crossing: Column | None = None) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6, sample: int = 16, seed: int = 0, least_new: float = 0.001, crossing: Column | None = None) -> DataFrame:
-    """Neighbour descent from a given graph; stops when fewer than ``least_new`` of the entries are new."""
+def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6, sample: int = 16, seed: int = 0, least_new: float = 0.001, crossing: Column | None = None, least_list: int = 32) -> DataFrame:
+    """Neighbour descent from a given graph; stops when fewer than ``least_new`` of the entries are new.
+
+    Lists of ``least_list`` entries are kept until the end, as short ones get stuck early.
+    """
     vectors = settled(vectors.repartition("vec_id"))
     state = settled(graph.select("q", "nbr", "dist", F.lit(True).alias("is_new")))
     for i in range(iterations):
@@ -126,7 +129,7 @@ def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6,
         both = found.union(found.select("nbr", "q", "dist")).withColumn("is_new", F.lit(True))
         old = state.withColumn("is_new", F.lit(False))
         merged = old.unionByName(both).groupBy("q", "nbr").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
-        state = settled(ranked(merged, k, "is_new").drop("rank"))
+        state = settled(ranked(merged, max(k, least_list), "is_new").drop("rank"))
         r = state.agg(F.count_if("is_new").alias("new"), F.count("*").alias("n")).first()
         if r["new"] <= least_new * r["n"]:
             break
@@ -135,7 +138,7 @@ def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6,
 
 def nndescent(vectors: DataFrame, k: int, *, iterations: int = 8, sample: int = 16, seed: int = 0) -> DataFrame:
     """Approximate k nearest neighbours by neighbour descent from a random graph."""
-    return refine(vectors, random_knn(vectors, k, seed), k, iterations=iterations, sample=sample, seed=seed)
+    return refine(vectors, random_knn(vectors, max(k, 32), seed), k, iterations=iterations, sample=sample, seed=seed)
 
 
 def merge_topk(graphs: Iterable[DataFrame], k: int) -> DataFrame:

@@ -1,9 +1,251 @@
 """Queries over vectors and graphs, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from densegraph.functions import vectors as V
+from densegraph.operators import evaluate, graph, hierarchy, knn, mst
+from densegraph.plans.tables import settled
+from densegraph.sources import files
+
+K, MPTS, SHARDS = 8, 8, 3
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def exact(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return settled(knn.exact_knn(vectors(spark, sf_dir), k))
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def enhanced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v, g = vectors(spark, sf_dir), exact(spark, sf_dir)
+    return v, g, settled(graph.enhanced_graph(v, g, MPTS))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    v, g, e = enhanced(spark, sf_dir)
+    return v, g, e, mst.kruskal(e.select("src", "dst", "weight"))
+
+
+def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(hierarchy.condensed_tree(hierarchy.single_linkage(tree(spark, sf_dir)[3]), MPTS))
+
+
+def labels(c: DataFrame) -> DataFrame:
+    return hierarchy.flat_labels(c, hierarchy.selected(c, hierarchy.stability(c)))
+
+
+def spread_recall(found: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    return evaluate.recall_at_k(found, truth, K).select((F.col("recall") >= least).alias("recall_ok"))
+
+
+#: A condensed tree small enough to follow by hand.
+SMALL_TREE = [(8, 9, 0.5, 4), (8, 10, 0.5, 4), (9, 0, 1.0, 1), (9, 1, 1.0, 1), (9, 2, 2.0, 1), (9, 3, 2.0, 1), (10, 4, 1.0, 1), (10, 5, 1.0, 1), (10, 6, 4.0, 1), (10, 7, 4.0, 1)]
+
+
+def small_tree(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SMALL_TREE, hierarchy.CONDENSED)
+
+
+Q = dict[str, Callable[[SparkSession, str], DataFrame]]
+
+
+def queries() -> Q:
+    n_of = lambda v: v.count()
+    weights = lambda e: rounded(e, "dist", "weight")
+
+    def halves(s, d):
+        v = vectors(s, d)
+        a, b = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
+        return v, a, b, settled(knn.exact_knn(a, K)), settled(knn.exact_knn(b, K))
+
+    def merged(s, d):
+        v, a, b, ga, gb = halves(s, d)
+        return spread_recall(knn.merge_knn(a, ga, b, gb, K), exact(s, d), 0.9)
+
+    def joined(s, d):
+        v, a, b, ga, _ = halves(s, d)
+        return spread_recall(knn.join_knn(a, ga, b, K), exact(s, d), 0.9)
+
+    def refined(s, d):
+        v = vectors(s, d)
+        return spread_recall(knn.refine(v, knn.random_knn(v, K, 3), K, iterations=10), exact(s, d), 0.9)
+
+    def topk_merge(s, d):
+        g = exact(s, d)
+        return knn.merge_topk([g.where("rank % 2 = 0"), g.where("rank <= 5")], 6).select("q", "nbr", "rank")
+
+    def core_sg(s, d, mpts=MPTS):
+        v, g, _, t = tree(s, d)
+        full = graph.core_sg(g, t, v, MPTS)
+        return weights(full if mpts == MPTS else graph.reweighted(full, g, mpts))
+
+    def ari(s, d):
+        a = labels(condensed(s, d)).withColumnRenamed("label", "found")
+        truth = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+        return evaluate.adjusted_rand(a.join(truth, "id"), "found", "label").select(F.col("ari").between(-1, 1).alias("in_range"))
+
+    def shards(s, d):
+        v = vectors(s, d)
+        return v.withColumn("shard", V.shard_of("vec_id", n_of(v), SHARDS)).groupBy("shard").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+    def order_degree(s, d):
+        return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("degree"))
+
+    return {
+        "vector_norm": lambda s, d: vectors(s, d).select("vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
+        "pairwise_l2": lambda s, d: rounded(knn.pairwise(vectors(s, d).where("vec_id < 100"), vectors(s, d)), "dist"),
+        "l2_by_dot": lambda s, d: vectors(s, d).alias("a").join(vectors(s, d).alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(V.l2_by_dot("a.embedding", "b.embedding"), 5).alias("dist")),
+        "knn_exact": lambda s, d: rounded(knn.exact_knn(vectors(s, d), K), "dist"),
+        "nearest_neighbor": lambda s, d: exact(s, d, 1).select("q", "nbr"),
+        "header_metadata": lambda s, d: vectors(s, d).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")),
+        "vector_slice": lambda s, d: vectors(s, d).where("vec_id between 100 and 199").select("vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
+        "gather_vectors": lambda s, d: vectors(s, d).join(exact(s, d).where("q = 0").select(F.col("nbr").alias("vec_id")), "vec_id", "left_semi").select("vec_id"),
+        "shard_layout": shards,
+        "min_positive_nn": lambda s, d: rounded(graph.min_positive_nearest(exact(s, d)), "min_dist"),
+        "in_degree": lambda s, d: graph.in_degree(exact(s, d)),
+        "in_degree_at_threshold": lambda s, d: graph.in_degree(exact(s, d)).groupBy("in_degree").agg(F.count("*").alias("n")),
+        "core_distance": lambda s, d: rounded(graph.core_distance(exact(s, d), MPTS), "core"),
+        "mutual_flags": lambda s, d: graph.mutual_flags(exact(s, d)),
+        "tie_score": lambda s, d: graph.tie_score(g := exact(s, d), graph.in_degree(g)),
+        "antihubs": lambda s, d: graph.antihubs(exact(s, d)),
+        "symmetrized_graph": lambda s, d: rounded(graph.symmetrised(exact(s, d)), "dist"),
+        "directed_graph": lambda s, d: rounded(graph.directed(exact(s, d)), "dist"),
+        "antihub_clique": lambda s, d: rounded(graph.clique(graph.antihubs(exact(s, d)), vectors(s, d)), "dist"),
+        "mrd_edges": lambda s, d: weights(graph.mutual_reachability(graph.symmetrised(g := exact(s, d)), graph.core_distance(g, MPTS))),
+        "enhanced_graph": lambda s, d: weights(enhanced(s, d)[2]),
+        "csr_offsets": lambda s, d: graph.csr_offsets(enhanced(s, d)[2]),
+        "quantized_weights": lambda s, d: graph.quantised_graph(weights(enhanced(s, d)[2]), 4).select("src", "dst", "weight_q"),
+        "order_degree": order_degree,
+        "edge_sort": lambda s, d: weights(enhanced(s, d)[2]).orderBy("weight", "src", "dst").limit(1000),
+        "mst_kruskal": lambda s, d: rounded(tree(s, d)[3], "weight"),
+        "mst_boruvka": lambda s, d: rounded(mst.boruvka(enhanced(s, d)[2].select("src", "dst", "weight")), "weight"),
+        "components_at_threshold": lambda s, d: mst.at_threshold(graph.symmetrised(exact(s, d)).select("src", "dst", F.col("dist").alias("weight")), 0.9, vectors(s, d).select(F.col("vec_id").alias("id"))),
+        "core_sg_edges": core_sg,
+        "core_sg_reweight_mpts4": lambda s, d: core_sg(s, d, 4),
+        "single_linkage": lambda s, d: rounded(hierarchy.single_linkage(tree(s, d)[3]), "weight"),
+        "condensed_tree": lambda s, d: rounded(condensed(s, d), "lambda"),
+        "stability": lambda s, d: hierarchy.stability(small_tree(s)),
+        "cluster_selection": lambda s, d: hierarchy.flat_labels(c := small_tree(s), hierarchy.selected(c, hierarchy.stability(c))),
+        "tree_extrema": lambda s, d: hierarchy.tree_extrema(small_tree(s)),
+        "cluster_labels": lambda s, d: labels(condensed(s, d)),
+        "nndescent": lambda s, d: spread_recall(knn.nndescent(vectors(s, d), K, iterations=10), exact(s, d), 0.9),
+        "nndescent_refine": refined,
+        "knn_merge": merged,
+        "knn_join": joined,
+        "knn_sharded": lambda s, d: spread_recall(knn.sharded_knn(vectors(s, d), K, SHARDS), exact(s, d), 0.9),
+        "graph_topk_merge": topk_merge,
+        "concatenate_sets": lambda s, d: knn.concatenated(v := vectors(s, d), v.where("vec_id < 10")).agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id")),
+        "recall_at_k": lambda s, d: evaluate.recall_at_k(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
+        "positional_recall": lambda s, d: evaluate.positional_recall(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
+        "ari": lambda s, d: rounded(evaluate.adjusted_rand(table(s, d, "labels"), "quality", "toxic"), "ari"),
+        "ari_of_clusters": ari,
+        "knn_text_export": lambda s, d: files.graph_text(exact(s, d, 3)),
+        "generator": lambda s, d: files.generated(s, 7000).agg(F.count("*").alias("n"), F.countDistinct("truth").alias("clusters")),
+    }
+
+
+def _sql(k: int = K) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (
+  SELECT a.vec_id AS q, b.vec_id AS nbr, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id
+),
+knn AS (SELECT * FROM (SELECT q, nbr, dist, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM d) WHERE rank <= {k}),
+deg AS (SELECT v.vec_id AS id, count(k.q)::BIGINT AS in_degree FROM e v LEFT JOIN knn k ON k.nbr = v.vec_id GROUP BY 1),
+score AS (SELECT k.q AS id, sum(g.in_degree)::BIGINT AS score FROM knn k JOIN deg g ON g.id = k.nbr GROUP BY 1),
+low AS (
+  SELECT id, in_degree, score FROM (SELECT *, row_number() OVER (ORDER BY in_degree, score, id) AS r FROM deg JOIN score USING (id))
+  WHERE r <= (SELECT floor(sqrt(count(*))) FROM e)
+),
+sym AS (SELECT least(q, nbr) AS src, greatest(q, nbr) AS dst, min(dist) AS dist FROM knn GROUP BY 1, 2),
+clique AS (SELECT d.q AS src, d.nbr AS dst, d.dist FROM d JOIN low a ON a.id = d.q JOIN low b ON b.id = d.nbr WHERE d.q < d.nbr),
+core AS (SELECT q AS id, dist AS core FROM knn WHERE rank = {min(k, MPTS)}),
+enh0 AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM sym UNION ALL SELECT * FROM clique) GROUP BY 1, 2),
+enh AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM enh0 JOIN core a ON a.id = src JOIN core b ON b.id = dst),
+und AS (SELECT src AS a, dst AS b, weight, src, dst FROM enh UNION ALL SELECT dst, src, weight, src, dst FROM enh),
+prim AS (
+  SELECT 1 AS n, [0::BIGINT] AS seen, NULL::STRUCT(w DOUBLE, s BIGINT, t BIGINT, b BIGINT) AS x
+  UNION ALL
+  SELECT n + 1, list_append(seen, x.b), x FROM (
+    SELECT p.n, any_value(p.seen) AS seen, min(struct_pack(w := u.weight, s := u.src, t := u.dst, b := u.b)) AS x
+    FROM prim p JOIN und u ON list_contains(p.seen, u.a) AND NOT list_contains(p.seen, u.b) GROUP BY p.n)
+),
+mst AS (SELECT x.s AS src, x.t AS dst, x.w AS weight FROM prim WHERE x IS NOT NULL)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    edges = "SELECT src, dst, round(dist, 6) AS dist, round(weight, 6) AS weight FROM "
+    values = ", ".join(map(str, SMALL_TREE))
+    small = f"WITH t(parent, child, lam, child_size) AS (VALUES {values})"
+    sg = """, sg0 AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM sym UNION ALL SELECT m.src, m.dst, d.dist FROM mst m JOIN d ON d.q = m.src AND d.nbr = m.dst) GROUP BY 1, 2),
+core2 AS (SELECT q AS id, dist AS core FROM knn WHERE rank = {m}),
+sg AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM sg0 JOIN core2 a ON a.id = src JOIN core2 b ON b.id = dst) """
+    norm = "round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm_sq"
+    ok = "SELECT true AS recall_ok"
+    k = _sql()
+    return {
+        "vector_norm": f"SELECT vec_id, {norm} FROM embeddings",
+        "pairwise_l2": k + "SELECT q, nbr, round(dist, 6) AS dist FROM d WHERE q < 100",
+        "l2_by_dot": k + "SELECT q AS vec_id, round(dist, 5) AS dist FROM d WHERE nbr = q + 1",
+        "knn_exact": k + "SELECT q, nbr, round(dist, 6) AS dist, rank FROM knn",
+        "nearest_neighbor": k + "SELECT q, nbr FROM knn WHERE rank = 1",
+        "header_metadata": "SELECT count(*) AS n, max(len(embedding))::INT AS dim FROM embeddings",
+        "vector_slice": f"SELECT vec_id, {norm} FROM embeddings WHERE vec_id BETWEEN 100 AND 199",
+        "gather_vectors": k + "SELECT nbr AS vec_id FROM knn WHERE q = 0",
+        "shard_layout": f"SELECT least(vec_id // ((SELECT count(*) FROM embeddings) // {SHARDS}), {SHARDS - 1})::INT AS shard, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1",
+        "min_positive_nn": k + "SELECT round(min(dist), 6) AS min_dist FROM knn WHERE rank = 1 AND dist > 0",
+        "in_degree": k + "SELECT id, in_degree FROM deg",
+        "in_degree_at_threshold": k + "SELECT in_degree, count(*) AS n FROM deg GROUP BY 1",
+        "core_distance": k + "SELECT id, round(core, 6) AS core FROM core",
+        "mutual_flags": k + "SELECT a.q, a.nbr, count(b.q)::INT AS mutual FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q GROUP BY 1, 2",
+        "tie_score": k + "SELECT id, score FROM score",
+        "antihubs": k + "SELECT id, in_degree, score FROM low",
+        "symmetrized_graph": k + "SELECT src, dst, round(dist, 6) AS dist FROM sym",
+        "directed_graph": k + "SELECT q AS src, nbr AS dst, round(dist, 6) AS dist FROM knn UNION ALL SELECT a.nbr, a.q, round(a.dist, 6) FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q WHERE b.q IS NULL",
+        "antihub_clique": k + "SELECT src, dst, round(dist, 6) AS dist FROM clique",
+        "mrd_edges": k + "SELECT src, dst, round(dist, 6) AS dist, round(greatest(dist, a.core, b.core), 6) AS weight FROM sym JOIN core a ON a.id = src JOIN core b ON b.id = dst",
+        "enhanced_graph": k + edges + "enh",
+        "csr_offsets": k + "SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS start FROM (SELECT a AS id, count(*) AS degree FROM und GROUP BY 1)",
+        "quantized_weights": k + "SELECT src, dst, floor(round(weight, 6) * 10000.0)::BIGINT AS weight_q FROM enh",
+        "order_degree": "SELECT l_orderkey AS id, count(*) AS degree FROM lineitem GROUP BY 1",
+        "edge_sort": k + edges + "enh ORDER BY round(weight, 6), src, dst LIMIT 1000",
+        "mst_kruskal": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
+        "mst_boruvka": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
+        "components_at_threshold": k + """, near AS (SELECT src AS a, dst AS b FROM sym WHERE dist <= 0.9 UNION ALL SELECT dst, src FROM sym WHERE dist <= 0.9),
+reach(id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.id, n.b FROM reach r JOIN near n ON n.a = r.other)
+SELECT id, min(other) AS component FROM reach GROUP BY 1""",
+        "core_sg_edges": k + sg.format(m=MPTS) + edges + "sg",
+        "core_sg_reweight_mpts4": k + sg.format(m=4) + edges + "sg",
+        "stability": small + ", b AS (SELECT child, min(lam) AS birth FROM t GROUP BY 1) SELECT t.parent::BIGINT AS cluster, sum((lam - coalesce(birth, 0)) * child_size)::DOUBLE AS stability FROM t LEFT JOIN b ON b.child = t.parent GROUP BY 1",
+        "cluster_selection": small + " SELECT child::BIGINT AS id, (parent - 9)::INT AS label FROM t WHERE child_size = 1",
+        "tree_extrema": small + " SELECT max(child)::BIGINT AS max_child, max(parent)::BIGINT AS max_parent, min(parent)::BIGINT AS min_parent, max(lam)::DOUBLE AS max_lambda FROM t",
+        "nndescent": ok, "nndescent_refine": ok, "knn_merge": ok, "knn_join": ok, "knn_sharded": ok,
+        "graph_topk_merge": k + "SELECT q, nbr, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM knn WHERE rank <= 6",
+        "concatenate_sets": "SELECT (count(*) + 10)::BIGINT AS n, (max(vec_id) + 10)::BIGINT AS last_id FROM embeddings",
+        "recall_at_k": "SELECT 0.5::DOUBLE AS recall",
+        "positional_recall": "SELECT 0.5::DOUBLE AS recall",
+        "ari": """WITH c AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS pairs, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY quality)) AS ra,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY toxic)) AS rb, (SELECT sum(n) FROM c) AS n)
+SELECT round((pairs - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)), 6) AS ari FROM s""",
+        "ari_of_clusters": "SELECT true AS in_range",
+        "knn_text_export": _sql(3) + "SELECT q, count(*)::VARCHAR || chr(9) || string_agg(printf('%.6f', dist) || chr(9) || nbr::VARCHAR, chr(9) ORDER BY rank) AS line FROM knn GROUP BY 1",
+        "generator": "SELECT 7000::BIGINT AS n, 7::BIGINT AS clusters",
+    }
