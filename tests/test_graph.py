@@ -72,8 +72,9 @@ def test_hierarchy_by_hand(spark):
 
 def test_clusters_of_the_generator(spark):
     v = files.generated(spark, 700).cache()
-    g = knn.exact_knn(v, 16).cache()
-    tree = mst.kruskal(graph.enhanced_graph(v, g, 16).select("src", "dst", "weight"), nodes=700)
+    g = knn.exact_knn(v, 400).cache()  # far groups are joined too
+    edges = graph.mutual_reachability(graph.symmetrised(g), graph.core_distance(g, 16))
+    tree = mst.kruskal(edges.select("src", "dst", "weight"), nodes=700)
     c = hierarchy.condensed_tree(hierarchy.single_linkage(tree), 16).cache()
     got = hierarchy.flat_labels(c, hierarchy.selected(c, hierarchy.stability(c)))
     assert got.select("label").distinct().where("label >= 0").count() == 7
