@@ -3,7 +3,7 @@
 A batch of documents is turned into sorted immutable runs: for each chunk of documents and
 each range of hash values, the distinct window hashes in order. Runs of one range, those
 of the batch and those kept from earlier batches, are merged; equal fingerprints meet
-there and every holder but the first is told. A fingerprint has 64 bits for its place and
+there and every holder but the first is told. A fingerprint has 58 bits for its place and
 16 check bits of an independent hash, which verify a match. Runs of earlier batches are compacted when they are many.
 
 A chunk sends one entry for each distinct window, so a passage that a third of all
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from densegraph.llm.common import HashCache, save, shared_folder, window_hashes
 
+#: Bits of a fingerprint's place: with 58, differences of neighbours in a run mostly fit 5 bytes.
+PLACE_BITS = 58
 #: Windows, and documents, after which a chunk is closed.
 CHUNK_WINDOWS, CHUNK_DOCS = 4_000_000, 60_000
 #: Run rows: kind 0 a sorted run of the batch, 1 windows already known to be repeated, 2 a run of an earlier batch.
@@ -32,9 +34,10 @@ FOUND = "chunk long, hashes binary, holders binary, ids binary"
 
 
 def packed(ordered: np.ndarray) -> bytes:
-    """Sorted 64-bit values: the first, then differences of 6 bytes if they all fit, else of 8."""
+    """Sorted 64-bit values: the first, then differences of 5 or 6 bytes if they all fit, else of 8."""
     steps = np.diff(ordered)
-    n = 6 if not len(steps) or steps.max() < 1 << 48 else 8
+    most = int(steps.max()) if len(steps) else 0
+    n = 5 if most < 1 << 40 else 6 if most < 1 << 48 else 8
     return bytes([n]) + ordered[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
@@ -49,7 +52,7 @@ def unpacked(data: bytes) -> np.ndarray:
 def windows(words: list[bytes], width: int, cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
     """Hash and check bits of each window."""
     h = cache.of(words)
-    return window_hashes(h, width, 21), (window_hashes(h, width, 22) >> np.uint64(48)).astype(np.uint16)
+    return window_hashes(h, width, 21) >> np.uint64(64 - PLACE_BITS), (window_hashes(h, width, 22) >> np.uint64(48)).astype(np.uint16)
 
 
 def parts_for(docs: DataFrame) -> int:
@@ -59,7 +62,7 @@ def parts_for(docs: DataFrame) -> int:
 
 def runs(docs: DataFrame, width: int, parts: int) -> DataFrame:
     """Sorted runs of (doc_id, text) rows. Rows without an id take no part."""
-    shift = np.uint64(64 - (parts.bit_length() - 1))
+    shift = np.uint64(PLACE_BITS - (parts.bit_length() - 1))
 
     def close(chunk: int, ids: list[int], hashes: list[np.ndarray], checks: list[np.ndarray]) -> Iterator[tuple]:
         h, c = np.concatenate(hashes), np.concatenate(checks)
