@@ -108,7 +108,7 @@ def queries() -> Q:
 
     return {
         "vector_norm": lambda s, d: vectors(s, d).select("vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
-        "pairwise_l2": lambda s, d: rounded(knn.pairwise(vectors(s, d).where("vec_id < 100"), vectors(s, d)), "dist"),
+        "pairwise_l2": lambda s, d: rounded(knn.pairwise(vectors(s, d).where("vec_id % 20 = 0"), vectors(s, d)), "dist"),
         "l2_by_dot": lambda s, d: vectors(s, d).alias("a").join(vectors(s, d).alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(V.l2_by_dot("a.embedding", "b.embedding"), 5).alias("dist")),
         "knn_exact": lambda s, d: rounded(knn.exact_knn(vectors(s, d), K), "dist"),
         "nearest_neighbor": lambda s, d: exact(s, d, 1).select("q", "nbr"),
@@ -131,7 +131,7 @@ def queries() -> Q:
         "csr_offsets": lambda s, d: graph.csr_offsets(enhanced(s, d)[2]),
         "quantized_weights": lambda s, d: graph.quantised_graph(weights(enhanced(s, d)[2]), 4).select("src", "dst", "weight_q"),
         "order_degree": order_degree,
-        "edge_sort": lambda s, d: weights(enhanced(s, d)[2]).orderBy("weight", "src", "dst").limit(1000),
+        "edge_sort": lambda s, d: weights(enhanced(s, d)[2]).orderBy("weight", "src", "dst"),
         "mst_kruskal": lambda s, d: rounded(tree(s, d)[3], "weight"),
         "mst_boruvka": lambda s, d: rounded(mst.boruvka(enhanced(s, d)[2].select("src", "dst", "weight")), "weight"),
         "components_at_threshold": lambda s, d: mst.at_threshold(graph.symmetrised(exact(s, d)).select("src", "dst", F.col("dist").alias("weight")), 0.9, vectors(s, d).select(F.col("vec_id").alias("id"))),
@@ -149,7 +149,7 @@ def queries() -> Q:
         "knn_join": joined,
         "knn_sharded": lambda s, d: spread_recall(knn.sharded_knn(vectors(s, d), K, SHARDS), exact(s, d), 0.9),
         "graph_topk_merge": topk_merge,
-        "concatenate_sets": lambda s, d: knn.concatenated(v := vectors(s, d), v.where("vec_id < 10")).agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id")),
+        "concatenate_sets": lambda s, d: knn.concatenated(v := vectors(s, d), v).agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id")),
         "recall_at_k": lambda s, d: evaluate.recall_at_k(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
         "positional_recall": lambda s, d: evaluate.positional_recall(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
         "ari": lambda s, d: rounded(evaluate.adjusted_rand(table(s, d, "labels"), "quality", "toxic"), "ari"),
@@ -202,7 +202,7 @@ sg AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM sg0
     k = _sql()
     return {
         "vector_norm": f"SELECT vec_id, {norm} FROM embeddings",
-        "pairwise_l2": k + "SELECT q, nbr, round(dist, 6) AS dist FROM d WHERE q < 100",
+        "pairwise_l2": k + "SELECT q, nbr, round(dist, 6) AS dist FROM d WHERE q % 20 = 0",
         "l2_by_dot": k + "SELECT q AS vec_id, round(dist, 5) AS dist FROM d WHERE nbr = q + 1",
         "knn_exact": k + "SELECT q, nbr, round(dist, 6) AS dist, rank FROM knn",
         "nearest_neighbor": k + "SELECT q, nbr FROM knn WHERE rank = 1",
@@ -225,7 +225,7 @@ sg AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM sg0
         "csr_offsets": k + "SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS start FROM (SELECT a AS id, count(*) AS degree FROM und GROUP BY 1)",
         "quantized_weights": k + "SELECT src, dst, floor(round(weight, 6) * 10000.0)::BIGINT AS weight_q FROM enh",
         "order_degree": "SELECT l_orderkey AS id, count(*) AS degree FROM lineitem GROUP BY 1",
-        "edge_sort": k + edges + "enh ORDER BY round(weight, 6), src, dst LIMIT 1000",
+        "edge_sort": k + edges + "enh ORDER BY round(weight, 6), src, dst",
         "mst_kruskal": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
         "mst_boruvka": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
         "components_at_threshold": k + """, near AS (SELECT src AS a, dst AS b FROM sym WHERE dist <= 0.9 UNION ALL SELECT dst, src FROM sym WHERE dist <= 0.9),
@@ -238,7 +238,7 @@ SELECT id, min(other) AS component FROM reach GROUP BY 1""",
         "tree_extrema": small + " SELECT max(child)::BIGINT AS max_child, max(parent)::BIGINT AS max_parent, min(parent)::BIGINT AS min_parent, max(lam)::DOUBLE AS max_lambda FROM t",
         "nndescent": ok, "nndescent_refine": ok, "knn_merge": ok, "knn_join": ok, "knn_sharded": ok,
         "graph_topk_merge": k + "SELECT q, nbr, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM knn WHERE rank <= 6",
-        "concatenate_sets": "SELECT (count(*) + 10)::BIGINT AS n, (max(vec_id) + 10)::BIGINT AS last_id FROM embeddings",
+        "concatenate_sets": "SELECT (2 * count(*))::BIGINT AS n, (2 * max(vec_id) + 1)::BIGINT AS last_id FROM embeddings",
         "recall_at_k": "SELECT 0.5::DOUBLE AS recall",
         "positional_recall": "SELECT 0.5::DOUBLE AS recall",
         "ari": """WITH c AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2),
