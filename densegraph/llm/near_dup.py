@@ -153,28 +153,42 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     sig = save(signatures(docs, width))
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)]
     classes = save(sig.where("size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), *firsts))
-    members = classes.select("node", F.explode("bands").alias("band"))
     figures = classes.select("node", "n_shingles", *SKETCH)
 
-    # Hubs, other ones each time, for the buckets that still hold several components.
-    rest, links, pairs, named = members.withColumn("component", F.col("node")), None, None, None
-    for rank in (-F.col("node"), F.col("node"), F.xxhash64("node")):
-        hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        stars = rest.join(hubs.where("lo < hi"), "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-        x = stars.join(figures.alias("p"), F.col("p.node") == stars["node"]).join(figures.alias("q"), F.col("q.node") == stars["hub"])
-        new = x.where(alike("p", "q", similarity)).select(stars["hub"], stars["node"]).distinct()
-        new = save(new if pairs is None else new.join(pairs, ["hub", "node"], "left_anti"))
+    def candidates(stars: DataFrame) -> DataFrame:
+        x = stars.distinct().join(figures.alias("p"), F.col("p.node") == stars["node"]).join(figures.alias("q"), F.col("q.node") == stars["hub"])
+        return x.where(alike("p", "q", similarity)).select(stars["hub"], stars["node"])
+
+    def still_open(rest: DataFrame, named: DataFrame) -> DataFrame:
+        at = rest.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+        return save(at.join(several, "band", "left_semi"))
+
+    # Each bucket's least node is its first hub. A bucket of one class or one component is settled for good.
+    members = classes.select("node", F.explode("bands").alias("band"))
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi").select("band", "hub")
+    shared = save(members.join(hubs, "band").select("band", "node", "hub"))
+    pairs = save(candidates(shared.where("hub < node").select("hub", "node")))
+    links = save(confirmed(pairs, docs, width, percent))
+    named = components(links)
+    rest = still_open(shared.select("band", "node"), named)
+
+    # Other hubs for the buckets that still hold several components.
+    for rank in (F.col("node"), F.xxhash64("node")):
+        hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"))
+        stars = rest.join(hubs, "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        new = save(candidates(stars).join(pairs, ["hub", "node"], "left_anti"))
         found = save(confirmed(new, docs, width, percent))
-        pairs, links = (new, found) if pairs is None else (pairs.unionByName(new), links.unionByName(found))
+        pairs, links = pairs.unionByName(new), links.unionByName(found)
         named = components(links)
-        at = members.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        rest = save(at.join(open_bands, "band", "left_semi"))
+        rest = still_open(rest.select("band", "node"), named)
 
-    # Pairs across components that share a bucket: what the hubs may have missed.
-    rest = save(rest.join(figures, "node"))
+    # Pairs across components that share a bucket: what the hubs may have missed. A pair is
+    # made in the first of its shared buckets only, which is open too.
+    before = F.slice("bands", F.lit(1), (F.array_position("bands", F.col("band")) - 1).cast("int"))
+    rest = save(rest.join(classes.select("node", "n_shingles", "bands", *SKETCH), "node").withColumn("before", before).drop("bands"))
     p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & alike("p", "q", similarity))
+    across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & alike("p", "q", similarity) & ~F.arrays_overlap("p.before", "q.before"))
     found = across.select(F.least("p.node", "q.node").alias("hub"), F.greatest("p.node", "q.node").alias("node")).distinct()
     more = save(found.join(pairs, ["hub", "node"], "left_anti"))
     if not more.isEmpty():
