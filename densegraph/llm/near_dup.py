@@ -113,8 +113,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "shingles"])
 
     sets = save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>").distinct())
-    own = pairs.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("y")), "node")
-    both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("x")), "hub")  # a hub's set is read once, not sent with each pair
+    own = pairs.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("y")).hint("merge"), "node")
+    both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("x")).hint("merge"), "hub")  # a hub's set is read once, not sent with each pair
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("hub", "node")
 
@@ -167,14 +167,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     # Each bucket's least node is its first hub. A bucket of one class or one component is settled for good.
     members = classes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi").select("band", "hub")
-    shared = save(members.join(hubs, "band").select("band", "node", "hub"))
+    shared = save(members.join(hubs.hint("merge"), "band").select("band", "node", "hub"))
     pairs = save(candidates(shared.where("hub < node").select("hub", "node")))
     links = save(confirmed(pairs, docs, width, percent))
     named = components(links)
     rest = still_open(shared.select("band", "node"), named)
 
-    # Other hubs for the buckets that still hold several components.
-    for rank in (F.col("node"), F.xxhash64("node")):
+    # Other hubs, of each bucket's own choice, for the buckets that still hold several components.
+    for rank in (F.xxhash64("node", "band"), F.xxhash64("band", "node")):
         hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"))
         stars = rest.join(hubs, "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
         new = save(candidates(stars).join(pairs, ["hub", "node"], "left_anti"))
