@@ -6,7 +6,8 @@ copies costs n pairs. An odd sketch, the MinHash samples folded into a parity bi
 estimates a pair's similarity from the population count of the XOR of two bitmaps; pairs
 that it doesn't rule out are confirmed on whole shingle sets. Buckets that still hold
 more than one component are then searched for pairs across components, so no link
-between components is left out for the sake of the hubs.
+between components is left out for the sake of the hubs. Near copies that are only almost
+similar enough meet there in numbers, so the documents left by then get finer sketches.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SAMPLES = BANDS * ROWS
 #: Longs of a sketch, and how far below the threshold an estimate may be before a pair is ruled out (4 standard deviations).
 SKETCH_LONGS, SLACK = 8, 0.12
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+#: The same of the sketches for the last search.
+FINE_SAMPLES, FINE_LONGS, FINE_SLACK = 2048, 32, 0.04
+FINE = [f"f{i}" for i in range(FINE_LONGS)]
 
 
 def shingle_set(text: str | None, width: int, cache: HashCache) -> np.ndarray:
@@ -39,10 +43,11 @@ def shingle_set(text: str | None, width: int, cache: HashCache) -> np.ndarray:
     return np.unique(window_hashes(hashes, min(width, len(words)), 11 + min(width, len(words))))
 
 
-def samples(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
-    """MinHash samples: for each of SAMPLES hash functions the least value over the set."""
-    a, b = multipliers(SAMPLES, 1), multipliers(SAMPLES, 2)
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+def samples(shingles: np.ndarray, n: int = SAMPLES, block: int = 2048) -> np.ndarray:
+    """MinHash samples: for each of ``n`` hash functions the least value over the set."""
+    a, b = multipliers(n, 1), multipliers(n, 2)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    block = max(1, block * SAMPLES // n)
     for i in range(0, len(shingles), block):
         np.minimum(least, (a[:, None] * shingles[None, i : i + block] + b[:, None]).min(axis=1), out=least)
     return least
@@ -53,17 +58,17 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mix(rows.sum(axis=1, dtype=np.uint64) + multipliers(BANDS, 4)).view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
+def odd_sketch(least: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     """Each sample flips one bit of the bitmap."""
-    at = (mix(least + multipliers(SAMPLES, 5)) >> np.uint64(32)) % np.uint64(64 * SKETCH_LONGS)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    at = (mix(least + multipliers(len(least), 5)) >> np.uint64(32)) % np.uint64(64 * longs)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketch_limit(similarity: float) -> int:
-    """The most differing bits of two sketches whose estimated similarity is at least ``similarity``."""
-    size = 64 * SKETCH_LONGS
-    return int(size / 2 * (1 - (1 - 2 / size) ** (2 * SAMPLES * (1 - similarity))))
+def sketch_limit(similarity: float, n: int = SAMPLES, longs: int = SKETCH_LONGS) -> int:
+    """The most differing bits of two sketches of ``n`` samples whose estimated similarity is at least ``similarity``."""
+    size = 64 * longs
+    return int(size / 2 * (1 - (1 - 2 / size) ** (2 * n * (1 - similarity))))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -94,11 +99,27 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def alike(a: str, b: str, similarity: float) -> Column:
+def fine_sketches(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node and its fine sketch, for the given nodes (distinct) among the rows of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for b in batches:
+            bits = np.zeros((b.num_rows, FINE_LONGS), np.int64)
+            for i, text in enumerate(b.column(1)):
+                if len(s := shingle_set(text.as_py(), width, cache)):
+                    bits[i] = odd_sketch(samples(s, FINE_SAMPLES), FINE_LONGS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["node", *FINE])
+
+    wanted = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return wanted.mapInArrow(run, "node long, " + ", ".join(f"{s} long" for s in FINE)).distinct()
+
+
+def alike(a: str, b: str, similarity: float, sketch: list[str], limit: int) -> Column:
     """Whether sizes and sketches of two sides leave the pair possible."""
-    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH))
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch))
     m, n = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.least(m, n) >= similarity * F.greatest(m, n)) & (bits <= sketch_limit(similarity - SLACK))
+    return (F.least(m, n) >= similarity * F.greatest(m, n)) & (bits <= limit)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -157,7 +178,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     def candidates(stars: DataFrame) -> DataFrame:
         x = stars.distinct().join(figures.alias("p"), F.col("p.node") == stars["node"]).join(figures.alias("q"), F.col("q.node") == stars["hub"])
-        return x.where(alike("p", "q", similarity)).select(stars["hub"], stars["node"])
+        return x.where(alike("p", "q", similarity, SKETCH, sketch_limit(similarity - SLACK))).select(stars["hub"], stars["node"])
 
     def still_open(rest: DataFrame, named: DataFrame) -> DataFrame:
         at = rest.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
@@ -186,9 +207,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     # Pairs across components that share a bucket: what the hubs may have missed. A pair is
     # made in the first of its shared buckets only, which is open too.
     before = F.slice("bands", F.lit(1), (F.array_position("bands", F.col("band")) - 1).cast("int"))
-    rest = save(rest.join(classes.select("node", "n_shingles", "bands", *SKETCH), "node").withColumn("before", before).drop("bands"))
+    fine = save(fine_sketches(docs, rest.select("node").distinct(), width))
+    rest = save(rest.join(classes.select("node", "n_shingles", "bands"), "node").withColumn("before", before).drop("bands").join(fine, "node"))
+    possible = alike("p", "q", similarity, FINE, sketch_limit(similarity - FINE_SLACK, FINE_SAMPLES, FINE_LONGS))
     p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & alike("p", "q", similarity) & ~F.arrays_overlap("p.before", "q.before"))
+    across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & possible & ~F.arrays_overlap("p.before", "q.before"))
     found = across.select(F.least("p.node", "q.node").alias("hub"), F.greatest("p.node", "q.node").alias("node")).distinct()
     more = save(found.join(pairs, ["hub", "node"], "left_anti"))
     if not more.isEmpty():
