@@ -32,6 +32,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 #: The same of the sketches for the last search.
 FINE_SAMPLES, FINE_LONGS, FINE_SLACK = 2048, 32, 0.04
 FINE = [f"f{i}" for i in range(FINE_LONGS)]
+#: The most ids that are broadcast to choose texts, 16 MB of longs; for more, ids and texts are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_set(text: str | None, width: int, cache: HashCache) -> np.ndarray:
@@ -99,8 +101,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in the one column of ``ids``."""
+    ids = save(ids.toDF("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def fine_sketches(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and its fine sketch, for the given nodes (distinct) among the rows of (doc_id, text)."""
+    """node and its fine sketch, for the given nodes among the rows of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -111,8 +119,7 @@ def fine_sketches(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     bits[i] = odd_sketch(samples(s, FINE_SAMPLES), FINE_LONGS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["node", *FINE])
 
-    wanted = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "node long, " + ", ".join(f"{s} long" for s in FINE)).distinct()
+    return of_ids(docs, nodes).mapInArrow(run, "node long, " + ", ".join(f"{s} long" for s in FINE)).distinct()
 
 
 def alike(a: str, b: str, similarity: float, sketch: list[str], limit: int) -> Column:
@@ -124,8 +131,6 @@ def alike(a: str, b: str, similarity: float, sketch: list[str], limit: int) -> C
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (hub, node) whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for b in batches:
@@ -133,7 +138,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "shingles"])
 
-    sets = save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>").distinct())
+    wanted = pairs.select("hub").union(pairs.select("node"))
+    sets = save(of_ids(docs, wanted).mapInArrow(run, "id long, shingles array<long>").distinct())
     own = pairs.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("y")).hint("merge"), "node")
     both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("x")).hint("merge"), "hub")  # a hub's set is read once, not sent with each pair
     shared = F.size(F.array_intersect("x", "y"))
@@ -189,8 +195,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     members = classes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi").select("band", "hub")
     shared = save(members.join(hubs.hint("merge"), "band").select("band", "node", "hub"))
+    near = save(of_ids(docs, shared.select("node")))  # what follows reads these texts only
     pairs = save(candidates(shared.where("hub < node").select("hub", "node")))
-    links = save(confirmed(pairs, docs, width, percent))
+    links = save(confirmed(pairs, near, width, percent))
     named = components(links)
     rest = still_open(shared.select("band", "node"), named)
 
@@ -199,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
         hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"))
         stars = rest.join(hubs, "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
         new = save(candidates(stars).join(pairs, ["hub", "node"], "left_anti"))
-        found = save(confirmed(new, docs, width, percent))
+        found = save(confirmed(new, near, width, percent))
         pairs, links = pairs.unionByName(new), links.unionByName(found)
         named = components(links)
         rest = still_open(rest.select("band", "node"), named)
@@ -207,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     # Pairs across components that share a bucket: what the hubs may have missed. A pair is
     # made in the first of its shared buckets only, which is open too.
     before = F.slice("bands", F.lit(1), (F.array_position("bands", F.col("band")) - 1).cast("int"))
-    fine = save(fine_sketches(docs, rest.select("node").distinct(), width))
+    fine = save(fine_sketches(near, rest.select("node"), width))
     rest = save(rest.join(classes.select("node", "n_shingles", "bands"), "node").withColumn("before", before).drop("bands").join(fine, "node"))
     possible = alike("p", "q", similarity, FINE, sketch_limit(similarity - FINE_SLACK, FINE_SAMPLES, FINE_LONGS))
     p, q = rest.alias("p"), rest.alias("q")
@@ -215,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     found = across.select(F.least("p.node", "q.node").alias("hub"), F.greatest("p.node", "q.node").alias("node")).distinct()
     more = save(found.join(pairs, ["hub", "node"], "left_anti"))
     if not more.isEmpty():
-        named = components(links.unionByName(confirmed(more, docs, width, percent)))
+        named = components(links.unionByName(confirmed(more, near, width, percent)))
 
     of_class = classes.select("digest", "node").join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
