@@ -120,6 +120,27 @@ def test_near_duplicates(spark):
     assert {r[0]: (r[1], r[2], r[3]) for r in near_dup.near_duplicates(docs).collect()} == {i: (len(s), name[i], name[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_of_many_edits(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for n in rng.integers(3, 11, 150):
+        x = list(base)
+        for i in rng.integers(0, 200, n):
+            x[i] = f"other{rng.integers(0, 10**6)}"
+        texts.append(" ".join(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    close = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    name = list(range(len(sets)))
+    while (new := [min(name[b] for b in range(len(sets)) if close[a][b]) for a in range(len(sets))]) != name:
+        name = new
+    assert 1 < len(set(name)) < len(name)
+    for most in (near_dup.BROADCAST_IDS, 0):  # ids broadcast, then shuffled
+        monkeypatch.setattr(near_dup, "BROADCAST_IDS", most)
+        assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()} == dict(enumerate(name))
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
@@ -128,6 +149,9 @@ def test_odd_sketch_estimates():
         bits = sum(int(v).bit_count() for v in (near_dup.odd_sketch(near_dup.samples(x)) ^ near_dup.odd_sketch(near_dup.samples(y))).view(np.uint64))
         j = shared / (2000 - shared)
         assert near_dup.sketch_limit(min(1, j + 0.12)) <= bits <= near_dup.sketch_limit(j - 0.12)
+        n, longs, slack = near_dup.FINE_SAMPLES, near_dup.FINE_LONGS, near_dup.FINE_SLACK
+        fine = near_dup.odd_sketch(near_dup.samples(x, n), longs) ^ near_dup.odd_sketch(near_dup.samples(y, n), longs)
+        assert near_dup.sketch_limit(j + slack, n, longs) <= sum(int(v).bit_count() for v in fine.view(np.uint64)) <= near_dup.sketch_limit(j - slack, n, longs)
 
 
 def expect_substring(texts, width, seen):
