@@ -4,8 +4,8 @@ The index holds the test items; every passage of every document is a query. A te
 in an item is its BM25 weight over the sum of the item's weights, so a passage that holds
 all of an item scores 1 and one threshold serves items of any length. Passages overlap by half
 and are twice as long as the longest item, so each copy of an item lies whole in one of them.
-Upper bounds over all passages of a batch at once leave few to search; those go
-through block-max WAND, and each item that is retrieved is verified: the words of its question part and
+Upper bounds over all passages of a batch at once, from enough of each item's rarest terms that the
+rest can't reach the threshold, leave few to search; those go through block-max WAND, and each item that is retrieved is verified: the words of its question part and
 of its answer part must be covered by word shingles shared with the passage.
 """
 
@@ -39,6 +39,30 @@ class Postings:
     block_most: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
+@dataclass
+class Keys:
+    """For each term the items (equal ones once) that it is a key of and its weights there, the greatest of these, and each item's weight without keys."""
+
+    items: np.ndarray
+    weights: np.ndarray
+    starts: np.ndarray
+    most: np.ndarray
+    rest: np.ndarray
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def slices(sizes: np.ndarray, groups: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of about ``most`` in size; equal neighbours in ``groups`` stay together."""
+    if len(sizes):
+        ends = np.append(np.flatnonzero(np.diff(groups)) + 1, len(sizes))
+        last = np.append(np.flatnonzero(np.diff(np.cumsum(sizes)[ends - 1] // most)), len(ends) - 1)
+        yield from (slice(lo, hi) for lo, hi in zip([0, *ends[last][:-1].tolist()], ends[last].tolist(), strict=True))
+
+
 class Index:
     """BM25 index of test items ``(id, text)``; items without terms are left out."""
 
@@ -68,17 +92,40 @@ class Index:
             self.postings.append(Postings(at, weights, float(weights.max()), at[np.append(cuts[1:], len(at)) - 1], np.maximum.reduceat(weights, cuts)))
         self.longest = max(map(len, self.words), default=0)
         self.stride = max(32, self.longest)
-        # For bounds over many passages: terms of few items are added up, those of many are bounded for each item.
+        # For bounds over many passages, each item's terms, those of the fewest items first, and its first equal item.
         counts = np.array([len(p.items) for p in self.postings] or [0])
         self.rare = counts <= max(2, n // 20)
-        self.common_bound = np.zeros(n)
-        for p, r in zip(self.postings, self.rare, strict=False):
-            if not r:
-                self.common_bound[p.items] += p.weights
-        self.most = np.array([p.most for p in self.postings] or [0.0])
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        self.flat_items = np.concatenate([p.items for p in self.postings] or [np.empty(0, np.int64)])
-        self.flat_weights = np.concatenate([p.weights for p in self.postings] or [np.empty(0)])
+        term = np.repeat(np.arange(len(counts)), counts)
+        item = np.concatenate([p.items for p in self.postings] or [np.empty(0, np.int64)])
+        order = np.lexsort((term, counts[term], item))
+        self.item_terms, self.item_weights = term[order], np.concatenate([p.weights for p in self.postings] or [np.empty(0)])[order]
+        self.item_starts = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=n))])
+        firsts: dict[tuple, int] = {}
+        self.first = [firsts.setdefault(tuple(t), k) for k, t in enumerate(self.words)]
+        self.keys: dict[float, Keys] = {}
+
+    def key_terms(self, least: float) -> Keys:
+        """Terms of which a passage must hold one for an item to reach ``least``: the rare ones, and then the next rarest until the rest can't reach it."""
+        if least not in self.keys:
+            rest, terms, items, weights = np.zeros(len(self.ids)), [], [], []
+            for k in range(len(self.ids)):
+                if self.first[k] != k:  # as the item that it equals
+                    continue
+                own = slice(self.item_starts[k], self.item_starts[k + 1])
+                w = self.item_weights[own]
+                after = np.append(np.cumsum(w[::-1])[::-1], 0.0)
+                n = max(int(self.rare[self.item_terms[own]].sum()), int(np.argmax(after < least - 1e-6)) if least > 1e-6 else len(w))
+                rest[k] = after[n]
+                terms.append(self.item_terms[own][:n])
+                items.append(np.full(n, k))
+                weights.append(w[:n])
+            term, item, weight = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, items, weights))
+            order = np.argsort(term, kind="stable")
+            sizes = np.bincount(term, minlength=len(self.postings))
+            most = np.zeros(len(self.postings))
+            np.maximum.at(most, term, weight)
+            self.keys[least] = Keys(item[order], weight[order], np.concatenate([[0], np.cumsum(sizes)]), most, rest)
+        return self.keys[least]
 
     def wand(self, query: list[int], least: float) -> list[tuple[int, float]]:
         """Items whose score for the distinct terms is at least ``least``, by block-max WAND."""
@@ -121,23 +168,32 @@ class Index:
 
     def possible(self, ids: np.ndarray, passages: np.ndarray, least: float) -> np.ndarray:
         """Passages that some item may reach ``least`` in, from (passage, term) occurrences (both passages of a word given)."""
+        key, n_terms, n = self.key_terms(least), max(1, len(self.postings)), max(1, len(self.ids))
         known = ids >= 0
-        keys = np.unique(passages[known] * len(self.most) + ids[known])
-        passage, term = keys // len(self.most), keys % len(self.most)
-        rare = self.rare[term]
-        passage, term = passage[rare], term[rare]
+        held = np.unique(passages[known] * n_terms + ids[known])
+        passage, term = held // n_terms, held % n_terms
+        own = key.starts[term + 1] > key.starts[term]
+        passage, term = passage[own], term[own]
         if not len(passage):
             return passage
-        common = float(self.common_bound.max()) if len(self.common_bound) else 0.0
-        names, inverse = np.unique(passage, return_inverse=True)
-        hopeful = np.bincount(inverse, self.most[term]) >= least - common - 1e-9
-        passage, term = passage[hopeful[inverse]], term[hopeful[inverse]]
-        sizes = self.starts[term + 1] - self.starts[term]
-        at = np.repeat(self.starts[term] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        pair = np.repeat(passage, sizes) * len(self.ids) + self.flat_items[at]
-        pairs, inverse = np.unique(pair, return_inverse=True)
-        score = np.bincount(inverse, self.flat_weights[at]) if len(pairs) else np.empty(0)
-        return np.unique(pairs[score + self.common_bound[pairs % len(self.ids)] >= least - 1e-9] // len(self.ids))
+        _, inverse = np.unique(passage, return_inverse=True)
+        hopeful = (np.bincount(inverse, key.most[term]) >= least - key.rest.max() - 2e-9)[inverse]
+        passage, term = passage[hopeful], term[hopeful]
+        sizes = key.starts[term + 1] - key.starts[term]
+        out = [np.empty(0, np.int64)]
+        for part in slices(sizes, passage):
+            pairs, inverse = np.unique(np.repeat(passage[part], sizes[part]) * n + key.items[(at := ranges(key.starts[term[part]], sizes[part]))], return_inverse=True)
+            pairs = pairs[np.bincount(inverse, key.weights[at]) + key.rest[pairs % n] >= least - 2e-9]
+            # what the bound leaves is scored on all terms of the item
+            item = pairs % n
+            lengths = self.item_starts[item + 1] - self.item_starts[item]
+            for some in slices(lengths, np.arange(len(pairs))):
+                at, of = ranges(self.item_starts[item[some]], lengths[some]), np.repeat(np.arange(len(item[some])), lengths[some])
+                wanted = np.repeat(pairs[some] // n, lengths[some]) * n_terms + self.item_terms[at]
+                place = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                score = np.bincount(of, self.item_weights[at] * (held[place] == wanted), minlength=len(item[some]))
+                out.append(pairs[some][score >= least - 2e-9] // n)
+        return np.unique(np.concatenate(out))
 
     def verified(self, item: int, passage: list[str], width: int, question: float, answer: float) -> bool:
         """Whether enough words of the item's question and of its answer (the last third) lie in shingles that the passage shares."""
@@ -212,7 +268,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.6, w
     out = []
     for k in range(searches):
         rows = items.where(share == k).orderBy("item_id", "text").collect()  # about most_items rows
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows]))
+        index = Index([(r["item_id"], r["text"]) for r in rows])
+        index.key_terms(least)  # once, for all tasks
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

@@ -210,6 +210,31 @@ def test_wand_finds_all_above_threshold():
             assert sorted(i for i, _ in index.wand(q, least)) == sorted(i for i, s in score.items() if s >= least - 1e-9)
 
 
+def test_leaks_of_items_without_rare_terms(spark):
+    one = "what is the capital city of the old northern kingdom by the sea it is called Aldermoor"
+    filler = " ".join(f"f{i}" for i in range(50))
+    rng = np.random.default_rng(5)
+    template = [" ".join(f"v{v}" for v in rng.integers(0, 9, 14)) for _ in range(30)]
+    other = [" ".join(f"u{v}" for v in rng.integers(0, 5000, 14)) for _ in range(133)]
+    for items in ([one] * 3, [one] * 67 + other, [*template, template[4]]):
+        for text in (items[0], items[-1]):
+            docs = spark.createDataFrame([(1, f"{filler} {text} {filler}"), (2, filler)], "doc_id long, text string")
+            bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+            got = {(r[0], r[1]) for r in decontaminate.contaminated(docs, bench).collect()}
+            assert got >= {(1, i) for i, t in enumerate(items) if t == text} and all(d == 1 for d, _ in got)
+
+
+def test_passages_left_by_bounds():
+    rng = np.random.default_rng(6)
+    for n_words in (7, 25, 400):
+        index = decontaminate.Index([(i, " ".join(f"t{v}" for v in (rng.integers(0, n_words, 12) if i % 3 else range(12)))) for i in range(90)])
+        ids = rng.integers(-1, len(index.postings), (300, 8 if n_words < 99 else 60))
+        for least in (0.3, 0.6, 0.9):
+            want = [p for p in range(len(ids)) if index.wand(np.unique(ids[p][ids[p] >= 0]).tolist(), least)]
+            got = index.possible(ids.ravel(), np.repeat(np.arange(len(ids)), ids.shape[1]), least)
+            assert got.tolist() == want
+
+
 def test_toxicity_catches_unseen_spellings():
     rng = np.random.default_rng(0)
     clean = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an", "re"], 3)) for _ in range(60))
