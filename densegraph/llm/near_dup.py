@@ -26,11 +26,11 @@ from densegraph.llm.common import HashCache, mix, multipliers, save, window_hash
 #: A pair at similarity 0.8 shares none of 36 bands of 5 samples with a chance of 6e-7.
 BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
-#: Longs of a sketch, and how far below the threshold an estimate may be before a pair is ruled out (4 standard deviations).
+#: Longs of a sketch, and how far below the threshold an estimate may be before a pair is ruled out. A pair that a hub loses by it meets the last search.
 SKETCH_LONGS, SLACK = 8, 0.12
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-#: The same of the sketches for the last search.
-FINE_SAMPLES, FINE_LONGS, FINE_SLACK = 2048, 32, 0.04
+#: The same of the sketches for the last search, where a pair that is ruled out is lost: 5 standard deviations of samples and parities together.
+FINE_SAMPLES, FINE_LONGS, FINE_SLACK = 2048, 32, 0.07
 FINE = [f"f{i}" for i in range(FINE_LONGS)]
 #: The most ids that are broadcast to choose texts, 16 MB of longs; for more, ids and texts are shuffled.
 BROADCAST_IDS = 2_000_000

@@ -154,6 +154,22 @@ def test_odd_sketch_estimates():
         assert near_dup.sketch_limit(j + slack, n, longs) <= sum(int(v).bit_count() for v in fine.view(np.uint64)) <= near_dup.sketch_limit(j - slack, n, longs)
 
 
+def test_fine_sketches_lose_hardly_a_pair():
+    """The chance that a pair at exactly 0.8 is ruled out: its differing samples are binomial, and each flips a bit of either sketch."""
+    n, size = near_dup.FINE_SAMPLES, 64 * near_dup.FINE_LONGS
+    limit = near_dup.sketch_limit(0.8 - near_dup.FINE_SLACK, n, near_dup.FINE_LONGS)
+    k = np.arange(1, n + 1)
+    log_pick = np.concatenate([[0], np.cumsum(np.log((n - k + 1) / k))]) + np.arange(n + 1) * np.log(0.2) + np.arange(n, -1, -1) * np.log(0.8)
+    odd, at, lost = np.zeros(size + 1), np.arange(size + 1), 0.0
+    odd[0] = 1
+    for flips in range(2 * n):
+        if flips % 2 == 0:
+            lost += np.exp(log_pick[flips // 2]) * odd[limit + 1 :].sum()
+        up, down = odd * (size - at) / size, odd * at / size
+        odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    assert lost < 1e-6
+
+
 def expect_substring(texts, width, seen):
     out = []
     for i, t in enumerate(texts):
