@@ -1,11 +1,11 @@
 """Main text of web pages from parser events, text-to-tag ratios and threshold clustering.
 
-The standard library's parser streams events into lines, one for each block of a page. A
-line's ratio is its text outside links against its tags; a Gaussian smooths the ratios over
-neighbouring lines, and two-means clustering of the smoothed ratios gives the threshold that
-separates content regions. Where a page marks its article, the article that holds most
-content lines is the region; elsewhere it is the stretch of content lines itself. Lines
-within menus, footers, adverts and the like never count.
+The standard library's parser streams events into lines, one for each block of a page, and
+groups neighbouring lines of one container into regions. A line's ratio is its text outside
+links against its tags, on a logarithmic scale; what the markup says of a line moves its ratio up
+(an article) or down (menus, adverts, footers, comments). A Gaussian smooths the ratios over
+neighbouring lines, and two-means clustering of the smoothed ratios gives the threshold: the
+regions above it are the main text, short blocks in them included. No tag decides by itself.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ APART = frozenset("head title script style noscript template nav footer aside fo
 #: Words of class, id and role attributes that mark what isn't main text.
 MARKS = frozenset("ad ads adv advert advertisement adsbygoogle banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendation comment comments disqus reply replies discussion widget pagination pager toolbar skip complementary contentinfo search".split())
 ARTICLE_MARKS = frozenset("articlebody".split())
+#: Those that count on an article or main element too, and words that turn the next one round (has-sidebar).
+OTHER_ARTICLES = frozenset("ad advert comment comments promo recommended related replies reply sponsored".split())
+TURNS = frozenset("has no with without".split())
+#: Containers whose lines make one region where nothing is marked.
+CONTAINERS = frozenset("address article aside blockquote body center dialog div fieldset footer form header html main nav section table".split())
+#: What an article adds to the logarithm of a line's ratio, and what other marks take away.
+ARTICLE_GAIN, APART_LOSS = 2.0, 8.0
 
 
 @dataclass
@@ -35,18 +42,23 @@ class Line:
     tags: int
     linked: int
     article: int
-    apart: bool
+    apart: int
+    region: int
 
 
 class Lines(HTMLParser):
-    """The lines of a page. ``article`` numbers the outermost article around a line, 0 outside of any."""
+    """The lines of a page.
+
+    ``article`` and ``apart`` number the outermost article and the outermost element of marked
+    markup around a line, 0 outside of any; ``region`` numbers the marked element or else the article or else the nearest container.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, apart, article
+        self.open: list[tuple[str, int, int, int]] = []  # name, apart, article, container
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.articles = 0
+        self.tags = self.linked = self.links = self.numbers = 0
 
     def parse_marked_section(self, i, report=1):
         end = self.rawdata.find(">", i)
@@ -55,45 +67,50 @@ class Lines(HTMLParser):
     def unknown_decl(self, data):
         pass
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _state(self) -> tuple[int, int, int]:
+        return self.open[-1][1:] if self.open else (0, 0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        apart, article = self._state()
+        apart, article, container = self._state()
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, article, apart))
+            self.lines.append(Line(text, self.tags, self.linked, article, apart, apart or article or container))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCK
-        apart, article = self._state()
+        apart, article, container = self._state()
         marked = tag in APART or self._marked(tag, attrs, article)
-        if block or marked != apart and not apart:
+        if block or marked and not apart:
             self.flush()
-        if tag == "p" or tag in ("li", "dt", "dd", "tr"):
+        if tag in ("p", "li", "dt", "dd", "tr"):
             self._close_open(tag)
-            apart, article = self._state()
+            apart, article, container = self._state()
         self.tags += 1
         if tag in VOID:
-            self.parts.append(" " if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
+            self.parts.append(" " if tag in ("br", "hr") else "")
             return
-        if not article and (tag in ("article", "main") or any(k == "role" and v == "main" or k == "itemprop" and (v or "").lower() in ARTICLE_MARKS for k, v in attrs)):
-            self.articles += 1
-            article = self.articles
         if tag in ("td", "th"):
             self.parts.append(" ")
         self.links += tag == "a"
-        self.open.append((tag, apart or marked, article))
+        self.numbers += 1
+        if marked:
+            apart = apart or self.numbers
+        elif not article and (tag in ("article", "main") or any(k == "role" and v == "main" or k == "itemprop" and (v or "").lower() in ARTICLE_MARKS for k, v in attrs)):
+            article = self.numbers
+        self.open.append((tag, apart, article, self.numbers if tag in CONTAINERS else container))
 
     def _marked(self, tag, attrs, article) -> bool:
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body"):
             return False
         if tag == "header" and not article:
             return True
+        marks = OTHER_ARTICLES if tag in ("article", "main") else MARKS
         for k, v in attrs:
-            if k in ("class", "id", "role") and v and not MARKS.isdisjoint(re.split(r"[^a-z]+", v.lower())):
-                return True
+            if k in ("class", "id", "role") and v:
+                words = re.split(r"[^a-z]+", v.lower())
+                if any(w in marks and before not in TURNS for before, w in zip(["", *words], words, strict=False)):
+                    return True
             if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
         return False
@@ -119,7 +136,7 @@ class Lines(HTMLParser):
                 state = self._state()
                 if any(x[0] in BLOCK for x in self.open[i:]):
                     self.flush()
-                elif (self.open[i - 1][1:] if i else (False, 0)) != state:
+                elif (self.open[i - 1][1:] if i else (0, 0, 0)) != state:
                     self.flush()
                 self._pop(i)
                 return
@@ -132,22 +149,36 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
 
-def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Gaussian smoothing, with weights renewed at the ends."""
-    reach = int(3 * sigma)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    full = lambda x: np.convolve(x, kernel)[reach : reach + len(values)]
-    return full(values) / full(np.ones(len(values)))
+def ratios(lines: list[Line]) -> np.ndarray:
+    """The logarithm of each line's text outside links against its tags, moved by its marks; 0 at least."""
+    free = np.array([max(0, len(x.text) - 2 * x.linked) / max(1, x.tags) for x in lines])
+    marks = np.array([-APART_LOSS if x.apart else ARTICLE_GAIN if x.article else 0.0 for x in lines])
+    return np.maximum(np.log1p(free) + np.where(free > 0, marks, 0.0), 0.0)
+
+
+def smoothed(values: np.ndarray, apart: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian smoothing over neighbouring lines that are marked alike (``apart``), with weights renewed at the ends."""
+    if sigma <= 0:
+        return values.copy()
+    total, weight = values.copy(), np.ones(len(values))
+    for d in range(1, min(int(3 * sigma), len(values) - 1) + 1):
+        w = np.exp(-0.5 * (d / sigma) ** 2) * (apart[d:] == apart[:-d])
+        total[d:] += w * values[:-d]
+        total[:-d] += w * values[d:]
+        weight[d:] += w
+        weight[:-d] += w
+    return total / weight
 
 
 def threshold(values: np.ndarray) -> float:
-    """The midpoint of the two clusters of the values (two-means)."""
-    low, high = float(values.min()), float(values.max())
+    """The midpoint of the two clusters of the values (two-means), one of them held by the 0 of a page without text."""
+    values = np.append(values, 0.0)
+    low, high = 0.0, float(values.max())
     for _ in range(50):
         mid = (low + high) / 2
         below, above = values[values <= mid], values[values > mid]
         if not len(above):
-            return -1.0 if low == high else mid
+            return mid
         new = float(below.mean()), float(above.mean())
         if new == (low, high):
             break
@@ -155,8 +186,13 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    """The blocks of the main text, joined by two line ends; empty if there are none."""
+def main_text(html: str | None, *, sigma: float = 1.0, least: float | None = None) -> str:
+    """The blocks of the main text, joined by two line ends; empty if there are none.
+
+    A region, the lines of one marked element, article or container, is main text if the mean of its lines' smoothed ratios, by their
+    lengths, is above the threshold of the page (or ``least``). In such a region only lines that are links for the most
+    part and below the threshold themselves go. ``sigma`` 0 switches the smoothing off. Null or empty html gives an empty text.
+    """
     parser = Lines()
     parser.feed(html or "")
     parser.close()
@@ -164,20 +200,12 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    free = np.array([0.0 if x.apart else max(0, len(x.text) - 2 * x.linked) / max(1, x.tags) for x in lines])
-    ratio = smoothed(np.log1p(free))
-    content = (ratio > threshold(ratio)) & (free > 0)
-    articles: dict[int, int] = {}
-    for x, c in zip(lines, content, strict=True):
-        if x.article and not x.apart:
-            articles[x.article] = articles.get(x.article, 0) + len(x.text) * (1 + int(c))
-    if articles:
-        best = max(articles, key=articles.get)
-        kept = [x.text for x in lines if x.article == best and not x.apart]
-    else:
-        at = np.flatnonzero(content)
-        kept = [x.text for x in lines[at[0] : at[-1] + 1] if not x.apart and 2 * x.linked <= len(x.text)] if len(at) else []
-    return "\n\n".join(kept)
+    ratio = smoothed(ratios(lines), np.array([x.apart for x in lines]), sigma)
+    least = threshold(ratio) if least is None else least
+    _, region = np.unique([x.region for x in lines], return_inverse=True)
+    sizes = np.array([len(x.text) for x in lines], float)
+    content = (np.bincount(region, sizes * ratio) / np.bincount(region, sizes) > least)[region]
+    return "\n\n".join(x.text for x, c, r in zip(lines, content, ratio, strict=True) if c and (r > least or 2 * x.linked <= len(x.text)))
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
