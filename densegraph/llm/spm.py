@@ -3,11 +3,13 @@
 The lattice of a text has a node for each (place, piece that ends there); an edge leads from
 piece to piece. For BPE vocabularies an edge weighs 0 if the two pieces stay as they
 are when their joined text is encoded alone, else minus infinity: a path is of weight 0 just
-when it is the encoding, and no text has two. A text is cut into chunks. Each chunk has a max-plus
-transfer matrix from the states in which its left boundary can be crossed to those of its right
-boundary; matrices are combined associatively, which tells the state at every boundary, and
-then each chunk is traced back on its own. Where a chunk begins with white space and no piece reaches over,
-the boundary has one state and the matrix is one number: such chunks are remembered.
+when it is the encoding, and no text has two. A text is cut into chunks of so many letters, wherever that
+falls. Each chunk has a max-plus transfer matrix from the states in which its left boundary can be
+crossed, which are the pieces over it, to those of its right boundary; the matrices of a text are combined by
+an associative prefix scan, which tells the state at every boundary, and then each chunk is traced
+back on its own. Chunks of giant documents are rows: matrices and traces are worked out wherever
+the rows are. Within a chunk, a word that begins after a space has one state on either side, so its matrix
+is one number and its one path is remembered.
 """
 
 from __future__ import annotations
@@ -20,13 +22,19 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densegraph.llm.common import save
+
 SPACE = "▁"
-#: Chunks remembered by a worker, the longest one remembered, and the length of the cuts in text without white space.
-MOST_CHUNKS, LONGEST_CHUNK, CUT = 800_000, 64, 256
-START = None  # the state at a boundary that no piece crosses
+#: Letters of a chunk, words remembered by a worker and the longest one remembered.
+CHUNK, MOST_WORDS, LONGEST_WORD = 16384, 800_000, 64
+#: A state at a boundary: the place where the piece over it begins, seen from the boundary, and the piece. This one where no piece crosses.
+START = (0, "")
+State = tuple[int, str]
+Matrix = dict[State, set[State]]
 
 
 class Pieces:
@@ -108,23 +116,6 @@ class Pieces:
                 dead.add(i)
                 stack.pop()
 
-    def paths(self, text: str, begin: int, end: int, state: tuple[int, str] | None) -> dict[int, list[tuple[int, str]]]:
-        """From a state at ``begin``, a piece (its place, text) that reaches to or over it, all pieces by their ends, until they reach ``end``.
-
-        Only pieces with a path of weight 0 from the state are kept, so each is met with its predecessor.
-        """
-        reach: dict[int, list[tuple]] = {}
-        if state is None:
-            reach[begin] = [(begin, "", None)]
-        else:
-            reach[state[0] + len(state[1])] = [(*state, None)]
-        for i in range(begin, end):
-            for node in reach.get(i, ()):
-                for x in self.starting(text, i):
-                    if not node[1] or self.allowed(node[1], x):
-                        reach.setdefault(i + len(x), []).append((i, x, node))
-        return reach
-
     def valid(self, piece: str) -> bool:
         """Whether merging can make the piece at all."""
         ok = self.makes.get(piece)
@@ -132,74 +123,166 @@ class Pieces:
             ok = self.makes[piece] = self.merged(piece) == [piece]
         return ok
 
-    def transfer(self, text: str, begin: int, end: int, states: list) -> dict:
-        """The chunk's max-plus matrix as its entries of weight 0: state at ``begin`` to states at ``end``."""
-        return {s: [((n[0], n[1]), n) for at, nodes in self.paths(text, begin, end, s).items() if at >= end for n in nodes] for s in states}
-
-    def crossing(self, text: str, at: int) -> list[tuple[int, str]]:
+    def crossing(self, text: str, at: int) -> list[State]:
         """The states in which a boundary can be met: pieces that begin before it and reach it or lie over it."""
-        return [(i, x) for i in range(max(0, at - self.longest), at) for x in self.starting(text, i) if i + len(x) >= at]
-
-    def scan(self, text: str, cut: int = CUT) -> list[str]:
-        """Pieces of a text by chunks of ``cut`` letters."""
-        bounds = [*range(0, len(text), cut), len(text)]
-        states = [[START], *(self.crossing(text, b) for b in bounds[1:-1])]
-        matrices = [self.transfer(text, a, b, s) for a, b, s in zip(bounds, bounds[1:], states, strict=False)]
-
-        def product(lo: int, hi: int) -> dict:
-            """Reachable states over chunks lo to hi; the grouping doesn't matter."""
-            if hi - lo == 1:
-                return {s: {t for t, _ in got} for s, got in matrices[lo].items()}
-            mid = (lo + hi) // 2
-            left, right = product(lo, mid), product(mid, hi)
-            return {s: set().union(*(right.get(t, set()) for t in got)) for s, got in left.items()}
-
-        # the state at the end is the piece that ends there on the one path of weight 0
-        state = next(t for t in product(0, len(matrices))[START] if t[0] + len(t[1]) == len(text))
-        out: list[list[str]] = []
-        for lo in range(len(matrices) - 1, -1, -1):  # the states of boundaries, from the right
-            before = product(0, lo)[START] if lo else {START}
-            for s, got in matrices[lo].items():
-                node = next((n for t, n in got if t == state), None) if s in before else None
-                if node is not None:
-                    part = []
-                    while node is not None and node[1] and (node[0], node[1]) != s:
-                        part.append(node[1])
-                        node = node[2]
-                    out.append(part)
-                    state = s
-                    break
-        return [x for part in out for x in part][::-1]
+        if self.sure(text, at):
+            return [START]
+        return [(i - at, x) for i in range(max(0, at - self.longest), at) for x in self.starting(text, i) if i + len(x) >= at]
+
+    def sure(self, text: str, at: int) -> bool:
+        """Whether no piece can reach over the place, whatever stands before or behind what is seen of the text."""
+        return at == 0 or at == len(text) or self.word_bound and text[at] == SPACE != text[at - 1]
+
+    def paths(self, text: str, begin: int, end: int, states: list[State]) -> dict[int, list[Node]]:
+        """From states at ``begin`` all pieces by the place where they end, up to those that reach ``end`` or over it.
 
-    def chunk(self, text: str) -> bytes:
-        """Identifiers of a chunk as 32-bit integers."""
+        A piece is one node, however many states lead to it; bit k of its mask tells that states[k] does.
+        """
+        reach: dict[int, list[Node]] = {}
+        for k, (d, x) in enumerate(states):
+            reach.setdefault(begin + d + len(x), []).append(Node(begin + d, x, 1 << k, ()))
+        for i in range(begin, end):
+            nodes = reach.get(i)
+            for x in self.starting(text, i) if nodes else ():
+                before = [n for n in nodes if not n.piece or self.allowed(n.piece, x)]
+                if before:
+                    mask = 0
+                    for n in before:
+                        mask |= n.mask
+                    reach.setdefault(i + len(x), []).append(Node(i, x, mask, before))
+        return reach
+
+    def ends(self, text: str, begin: int, end: int, states: list[State]) -> list[tuple[State, Node]]:
+        """The states at ``end`` that can be reached, with their nodes."""
+        reach = self.paths(text, begin, end, states)
+        if self.sure(text, end):
+            return [(START, n) for n in reach.get(end, ())]
+        return [((n.at - end, n.piece), n) for place, nodes in reach.items() if place >= end for n in nodes]
+
+    def inner(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and last place from ``begin`` to ``end`` that no piece reaches over."""
+        if self.sure(text, begin) and self.sure(text, end):
+            return begin, end
+        at = [i for i in (begin, *self.word_starts(text, begin, end), end) if self.sure(text, i)]
+        return (at[0], at[-1]) if at else None
+
+    def word_starts(self, text: str, begin: int, end: int) -> list[int]:
+        return [m.start() + 1 for m in WORD_START.finditer(text, begin, min(end + 1, len(text)))] if self.word_bound else []
+
+    def transfer(self, text: str, begin: int, end: int) -> Matrix:
+        """The chunk's max-plus matrix as its entries of weight 0: from each state at ``begin`` the states at ``end``."""
+        states, inner = self.crossing(text, begin), self.inner(text, begin, end)
+        if inner is None:
+            out: Matrix = {s: set() for s in states}
+            for t, n in self.ends(text, begin, end, states):
+                for k, s in enumerate(states):
+                    if n.mask >> k & 1:
+                        out[s].add(t)
+            return out
+        # the product of the first word's matrix, those of whole words, which are one number, and the last word's
+        first, last = inner
+        into = {START} if first == begin else {states[k] for _, n in self.ends(text, begin, first, states) for k in range(len(states)) if n.mask >> k & 1}
+        onto = {START} if last == end else {t for t, _ in self.ends(text, last, end, [START])}
+        return {s: set(onto) if s in into else set() for s in states}
+
+    def between(self, text: str, begin: int, end: int, s: State, t: State) -> bytes:
+        """Identifiers of the pieces after state ``s`` at ``begin`` up to state ``t`` at ``end``, traced back."""
+        node = next((n for state, n in self.ends(text, begin, end, [s]) if state == t), None)
+        out: list[str] = []
+        while node is not None and node.before:
+            out.append(node.piece)
+            node = next(iter(node.before))
+        return self.numbers(out[::-1])
+
+    def trace(self, text: str, begin: int, end: int, s: State, t: State) -> bytes:
+        """Identifiers of a chunk between two known states."""
+        inner = self.inner(text, begin, end)
+        if inner is None:
+            return self.between(text, begin, end, s, t)
+        first, last = inner
+        out = [self.between(text, begin, first, s, START)] if first > begin else []
+        out += map(self.word, WORDS.findall(text, first, last) if self.word_bound else [text[first:last]] * (last > first))
+        out += [self.between(text, last, end, START, t)] if last < end else []
+        return b"".join(out)
+
+    def numbers(self, parts: list[str]) -> bytes:
+        """Identifiers of pieces as 32-bit integers; letters that the vocabulary lacks as bytes."""
+        ids: list[int] = []
+        for x in parts:
+            i = self.ids.get(x)
+            ids += [i] if i is not None else [self.byte_ids[b] for b in x.encode()]
+        return np.array(ids, np.int32).tobytes()
+
+    def word(self, text: str) -> bytes:
+        """Identifiers of a text that no piece reaches into or out of."""
         got = self.known.get(text)
         if got is None:
-            ids: list[int] = []
-            for x in self.short(text) if len(text) <= CUT else self.scan(text):
-                i = self.ids.get(x)
-                ids += [i] if i is not None else [self.byte_ids[b] for b in x.encode()]
-            got = np.array(ids, np.int32).tobytes()
-            if len(text) <= LONGEST_CHUNK:
-                if len(self.known) >= MOST_CHUNKS:
+            got = self.numbers(self.short(text))
+            if len(text) <= LONGEST_WORD:
+                if len(self.known) >= MOST_WORDS:
                     self.known.clear()
                 self.known[text] = got
         return got
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, chunk: int = CHUNK) -> np.ndarray:
+        """Identifiers of a text in one place: the scan over its chunks, of which most texts have one."""
         if not text:
             return np.empty(0, np.int32)
-        text = SPACE + text.replace(" ", SPACE)
-        chunks = CHUNKS.findall(text) if self.word_bound else [text]
-        return np.frombuffer(b"".join(map(self.chunk, chunks)), np.int32)
+        text = normal(text)
+        bounds = [*range(0, len(text), chunk), len(text)]
+        spans = list(zip(bounds, bounds[1:], strict=False))
+        states = at_boundaries([self.transfer(text, *b) for b in spans])
+        return np.frombuffer(b"".join(self.trace(text, *b, s, t) for b, s, t in zip(spans, states, states[1:], strict=False)), np.int32)
+
+    def text_of(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
 
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
-        return out[1:] if out.startswith(" ") else out
+        return self.text_of(ids).removeprefix(" ")
+
+
+#: A run of spaces and what follows up to the next space; the place before a run of spaces.
+WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+WORD_START = re.compile(f"[^{SPACE}](?={SPACE})")
+
+
+def normal(text: str) -> str:
+    return SPACE + text.replace(" ", SPACE)
 
 
-#: A run of spaces and what follows up to the next space.
-CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """Max-plus product of two matrices of weights 0 and minus infinity."""
+    return {s: set().union(*(b.get(t, ()) for t in got)) for s, got in a.items()}
+
+
+def prefixes(matrices: list[Matrix]) -> list[Matrix]:
+    """The products of the first 1, 2, ... matrices, by an associative scan: neighbours are paired, the pairs scanned, the gaps filled."""
+    if len(matrices) < 2:
+        return list(matrices)
+    pairs = prefixes([product(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)])
+    out = [matrices[0]]
+    for i in range(1, len(matrices)):
+        out.append(pairs[i // 2] if i % 2 else product(pairs[i // 2 - 1], matrices[i]))
+    return out
+
+
+def at_boundaries(matrices: list[Matrix]) -> list[State]:
+    """The state at every boundary of a text, both ends included."""
+    reached = prefixes(matrices)
+    states = [START]
+    for k in range(len(matrices) - 1, -1, -1):
+        before = reached[k - 1][START] if k else {START}
+        states.append(next(s for s, got in matrices[k].items() if s in before and states[-1] in got))
+    return states[::-1]
+
+
+class Node:
+    """A piece of the lattice: where it begins, its text, the states that lead to it and the nodes before it."""
+
+    __slots__ = ("at", "before", "mask", "piece")
+
+    def __init__(self, at: int, piece: str, mask: int, before):
+        self.at, self.piece, self.mask, self.before = at, piece, mask, before
 
 
 @lru_cache(1)
@@ -207,13 +290,89 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode_decode(docs: DataFrame, *, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ROWS = "doc_id long, n_tokens long, ids array<int>, ids_hash string, round_trip boolean"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+#: A chunk: the text that it needs, its own part of it and whether the document has the vocabulary's space sign.
+CHUNKS = "key long, k int, doc_id long, text string, begin int, end int, marked boolean"
+CHUNK_FIELDS = [("key", pa.int64()), ("k", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("marked", pa.bool_())]
+MATRIX = "key long, k int, si array<int>, sx array<string>, ti array<int>, tx array<string>"
+STATES = "key long, k int, si int, sx string, ti int, tx string"
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
+
+
+def encode_giants(docs: DataFrame, model: str, chunk: int) -> DataFrame:
+    """encode_decode for documents of many chunks, each chunk a row of its own."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = pieces(model).longest + 1
+        key = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py()
+                marked, text = SPACE in text, normal(text)
+                for k, lo in enumerate(range(0, len(text), chunk)):
+                    # with the first and last place of the text in sight only where they are its ends
+                    left, right = max(0, lo - reach), min(len(text), lo + chunk + reach)
+                    row = (key, k, doc_id, text[left:right], lo - left, min(len(text), lo + chunk) - left, marked)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, CHUNK_FIELDS, strict=True)], [n for n, _ in CHUNK_FIELDS])
+                key += 1
+
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
+        for b in batches:
+            entries = []
+            for text, begin, end in zip(b.column("text"), b.column("begin").to_pylist(), b.column("end").to_pylist(), strict=True):
+                entries.append([(*s, *t) for s, got in p.transfer(text.as_py(), begin, end).items() for t in got])
+            columns = [pa.array([[e[j] for e in row] for row in entries], pa.list_(pa.string() if j % 2 else pa.int32())) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *columns], [x.split()[0] for x in MATRIX.split(", ")])
+
+    def combine(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+        matrices: list[Matrix] = []
+        for r in rows:
+            m: Matrix = {}
+            for si, sx, ti, tx in zip(r["si"], r["sx"], r["ti"], r["tx"], strict=True):
+                m.setdefault((si, sx), set()).add((ti, tx))
+            matrices.append(m)
+        states = at_boundaries(matrices)
+        return pa.table({"key": table["key"], "k": pa.array([r["k"] for r in rows], pa.int32()), **{f"{a}{b}": pa.array([x[j] for x in part], pa.string() if j else pa.int32()) for a, part in (("s", states[:-1]), ("t", states[1:])) for j, b in enumerate("ix")}})
+
+    def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
+        for b in batches:
+            lists, trips = [], []
+            for r in b.to_pylist():
+                s, t = (r["si"], r["sx"]), (r["ti"], r["tx"])
+                ids = np.frombuffer(p.trace(r["text"], r["begin"], r["end"], s, t), np.int32)
+                lists.append(ids)
+                own = r["text"][r["begin"] + s[0] + len(s[1]) : r["end"] + t[0] + len(t[1])]
+                trips.append(not r["marked"] and p.text_of(ids) == own.replace(SPACE, " "))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), b.column("doc_id"), lists_of(lists), pa.array(trips, pa.bool_())], ["key", "k", "doc_id", "ids", "round_trip"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        ids = np.concatenate([x.values.to_numpy() for x in table["ids"]])
+        row = (table["doc_id"][0].as_py(), len(ids), ids, xxhash.xxh3_64_hexdigest(ids.tobytes()), all(table["round_trip"].to_pylist()))
+        return pa.table([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_()), strict=True)], NAMES)
+
+    chunks = save(docs.mapInArrow(cut, CHUNKS).repartition("key", "k"))
+    states = save(chunks.mapInArrow(transfers, MATRIX).groupBy("key").applyInArrow(combine, STATES))
+    traced = chunks.join(states, ["key", "k"]).mapInArrow(traces, "key long, k int, doc_id long, ids array<int>, round_trip boolean")
+    return traced.groupBy("key").applyInArrow(joined, ROWS)
+
+
+def encode_decode(docs: DataFrame, *, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_hash, round_trip`` for every input row.
 
     ``ids`` are the identifiers of the whole text, without begin or end marks; ``ids_hash`` is a hash
     of them; ``round_trip`` tells whether decoding them gives the text again, which only a text with the
-    vocabulary's own space sign U+2581 fails. A null or empty text has no tokens. Null ids stay, repeated
-    rows give repeated rows, an empty table gives none.
+    vocabulary's own space sign U+2581 fails. Texts of more than ``chunk`` code points are worked on as rows of chunks,
+    the rest as one chunk. A null or empty text has no tokens. Null ids stay, repeated
+    rows give repeated rows, an empty table gives none. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +383,12 @@ def encode_decode(docs: DataFrame, *, model: str, id_col: str = "doc_id", text_c
                 lists, hashes, trips = [], [], []
                 for t in part.column(1):
                     text = t.as_py() or ""
-                    ids = p.encode(text)
+                    ids = p.encode(text, chunk + 1)
                     lists.append(ids)
                     hashes.append(xxhash.xxh3_64_hexdigest(ids.tobytes()))
                     trips.append(p.decode(ids) == text)
-                sizes = [len(x) for x in lists]
-                at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))), pa.array(hashes), pa.array(trips)],
-                    ["doc_id", "n_tokens", "ids", "ids_hash", "round_trip"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in lists], pa.int64()), lists_of(lists), pa.array(hashes), pa.array(trips)], NAMES)
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_hash string, round_trip boolean")
+    giant = F.coalesce(F.length("text") > chunk, F.lit(False))
+    return kept.where(~giant).mapInArrow(run, ROWS).unionByName(encode_giants(kept.where(giant), model, chunk))

@@ -60,16 +60,32 @@ def test_tokens_as_the_library(spark):
     assert got == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in text]
 
 
-@pytest.mark.parametrize("cut", [3, 7, 256])
+@pytest.mark.parametrize("cut", [1, 3, 7, 256])
 def test_pieces_as_the_library(cut):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib, mine = sentencepiece.SentencePieceProcessor(model_file=path), spm.Pieces(path)
-    for t in ["aaaaaaaaaaaab", "你好世界" * 9, "0123abcdef" * 20, "thethecat", "=-=-==--", "é☃\n\n  x"]:
-        t2 = "▁" + t.replace(" ", "▁")
-        ids = [i for x in mine.scan(t2, cut) for i in ([mine.ids[x]] if x in mine.ids else [mine.byte_ids[b] for b in x.encode()])]
-        assert ids == lib.encode(t), t
-        assert mine.decode(np.array(ids)) == t
-    assert all(mine.encode(t).tolist() == lib.encode(t) for t in ODD if t)
+    for t in ["aaaaaaaaaaaab", "你好世界" * 9, "0123abcdef" * 20, "thethecat", "=-=-==--", "é☃\n\n  x", " ", "  a   b ", "▁▁a b▁", *filter(None, ODD)]:
+        ids = mine.encode(t, cut)
+        assert ids.tolist() == lib.encode(t), t
+        assert mine.decode(ids) == t or "▁" in t
+
+
+def test_pieces_of_giants_as_the_library(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    long = [(100, "abcdefghij" * 700), (None, "é" * 999 + "▁ " * 400), (100, "abcdefghij" * 700)]
+    docs = small(spark).select("doc_id", "text").union(odd(spark).select("doc_id", "text")).union(spark.createDataFrame(long, "doc_id long, text string"))
+    key = lambda r: (r[0] is None, r[0], r[1])
+    want = sorted(((r[0], lib.encode(r[1] or ""), "▁" not in (r[1] or "")) for r in docs.collect()), key=key)
+    for chunk in (300, spm.CHUNK):
+        got = sorted(((r["doc_id"], r["ids"], r["round_trip"]) for r in spm.encode_decode(docs, model=path, chunk=chunk).collect()), key=key)
+        assert got == want
+
+
+def test_scan_is_associative():
+    a, b, c = ({("s", i): {("t", (i * k) % 5), ("t", (i + k) % 5)} for i in range(5)} for k in (2, 3, 4))
+    a, b, c = ({s[1]: {t[1] for t in got} for s, got in m.items()} for m in (a, b, c))
+    assert spm.product(spm.product(a, b), c) == spm.product(a, spm.product(b, c)) == spm.prefixes([a, b, c])[2]
 
 
 def test_rule_figures(spark):
@@ -268,6 +284,12 @@ def test_pages():
     page = '<head><title>t</title></head><nav><li><a href=x>Home</a></nav><article><h1>T &amp; t</h1><p>One  <b>two</b><br>three<p>Four</article><footer>f</footer><script>var t="</p>"</script>'
     assert html_text.main_text(page) == "T & t\n\nOne two three\n\nFour"
     assert html_text.main_text(None) == html_text.main_text("<nav>x</nav>") == ""
+    title = "<body><div><h1>A short heading</h1></div><div><p>" + "Long text here. " * 9 + "</p><p>And more of it. " * 4 + "</p></div><div><a href=x>One</a> <a href=y>Two</a></div>"
+    assert html_text.main_text(title).startswith("A short heading\n\nLong text") and not html_text.main_text(title).endswith("Two")
+    assert html_text.main_text(title, sigma=0) != html_text.main_text(title)  # the heading is kept for its neighbours' sake
+    assert html_text.main_text(page, least=99.0) == "" and "Home" in html_text.main_text(page, least=-1.0)  # no tag decides by itself
+    several = "<main class='with-sidebar'><article><p>" + "One. " * 30 + "</article><article><p>" + "Two. " * 30 + "</article><article class=comment><p>" + "Me too. " * 30 + "</article></main>"
+    assert html_text.main_text(several) == ("One. " * 30).strip() + "\n\n" + ("Two. " * 30).strip()
     free = "<div class='menu'><a href=x>Home</a></div><div><p>" + "Long text. " * 20 + "</p></div><div id=comments><p>Nice one, thanks</p></div>"
     assert html_text.main_text(free) == ("Long text. " * 20).strip()
 
