@@ -30,9 +30,10 @@ from densegraph.llm.common import save
 
 SPACE = "▁"
 #: Letters of a chunk, words remembered by a worker and the longest one remembered.
-CHUNK, MOST_WORDS, LONGEST_WORD = 16384, 800_000, 64
+CHUNK, MOST_WORDS, LONGEST_WORD = 32768, 800_000, 64
 #: A state at a boundary: the place where the piece over it begins, seen from the boundary, and the piece. This one where no piece crosses.
 START = (0, "")
+MAYBE = 2
 State = tuple[int, str]
 Matrix = dict[State, set[State]]
 
@@ -57,10 +58,10 @@ class Pieces:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.rank = {piece: -p.get_score(i) for piece, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
-        self.prefixes = {x[:n] for x in self.ids for n in range(1, len(x) + 1)}
+        #: Of beginnings of pieces whether they are pieces that merging can make: False, True, or MAYBE before it is looked into.
+        self.begins = dict.fromkeys((x[:n] for x in self.ids for n in range(1, len(x))), False) | dict.fromkeys(self.ids, MAYBE)
         # a space within a piece only follows spaces, so chunks that begin after the last space of a run keep to themselves
         self.word_bound = all(SPACE not in x.lstrip(SPACE) for x in self.ids)
-        self.makes: dict[str, bool] = {}
         self.pair: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -86,12 +87,13 @@ class Pieces:
 
     def starting(self, text: str, i: int) -> list[str]:
         """Pieces that begin at a place: the single letter, known or not, and every longer piece of the vocabulary that merging can make."""
-        out = [text[i]]
+        out, known = [text[i]], self.begins.get
         for n in range(i + 2, min(i + self.longest, len(text)) + 1):
             x = text[i:n]
-            if x not in self.prefixes:
+            piece = known(x)
+            if piece is None:
                 break
-            if x in self.ids and self.valid(x):
+            if piece and (piece is True or self.valid(x)):
                 out.append(x)
         return out
 
@@ -100,14 +102,17 @@ class Pieces:
 
         Every place is reached by one such path at most, so a place that led nowhere is not tried again.
         """
-        end, dead = len(text), set()
+        end, dead, known = len(text), set(), self.pair.get
         stack = [(0, "", self.starting(text, 0))]
         while True:
             i, before, options = stack[-1]
             while options:
                 x = options.pop()
                 j = i + len(x)
-                if j not in dead and (not before or self.allowed(before, x)):
+                if j in dead:
+                    continue
+                ok = known((before, x)) if before else True
+                if ok or ok is None and self.allowed(before, x):
                     if j == end:
                         return [s[1] for s in stack[1:]] + [x]
                     stack.append((j, x, self.starting(text, j)))
@@ -118,9 +123,7 @@ class Pieces:
 
     def valid(self, piece: str) -> bool:
         """Whether merging can make the piece at all."""
-        ok = self.makes.get(piece)
-        if ok is None:
-            ok = self.makes[piece] = self.merged(piece) == [piece]
+        ok = self.begins[piece] = self.merged(piece) == [piece]
         return ok
 
     def crossing(self, text: str, at: int) -> list[State]:
