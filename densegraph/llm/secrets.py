@@ -4,10 +4,14 @@ Base kinds come from patterns. Further spans come from a battery of randomness t
 on long tokens: for the encoding that a token's letters suggest, a chi-squared test of
 even use of the alphabet, a runs test and a serial-correlation test give one p-value
 under the hypothesis "drawn at random from this alphabet". Tokens are put into strata by
-encoding and length. Random tokens spread evenly over p-values while ordinary ones crowd
+encoding and length, quarters of a power of two. Random tokens spread evenly over p-values while ordinary ones crowd
 near 0, so the upper half of a stratum's histogram tells how many random tokens it holds,
 and with that the share of false discoveries above each threshold. The threshold of a
-stratum is the lowest one that holds the share under the given rate.
+stratum is the lowest one that holds the share under the given rate. Each stratum's counts are added to those of
+a fixed number of imagined tokens, so strata of a few tokens are judged by the same rule.
+
+A token takes part if the tests can tell an ordinary one of its letters and length from a random one: letters and digits mixed from 16
+characters on, digits only or letters of both cases from 20, letters of one case, which words are made of, from 40.
 """
 
 from __future__ import annotations
@@ -23,11 +27,19 @@ from densegraph.llm.common import let
 #: Kinds in order, their patterns, the group whose length counts and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE_KINDS = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Qualifying matches of patterns whose matches are whole runs of letters, so that shorter ones needn't be located.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: What stands for the letters of base spans when tokens are sought, a code point that no text should have.
+COVERED = "\uFDD0"
+TOKEN = rf"[A-Za-z0-9+/_{COVERED}-]{{16,}}"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from narrow to wide: name, pattern of a whole token, alphabet.
 ENCODINGS = [
+    ("digits", r"^[0-9]+$", DIGITS),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("upper", r"^[A-Z]+$", UPPER),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
     ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef"),
     ("hex_upper", r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
@@ -37,10 +49,33 @@ ENCODINGS = [
     ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64_url", r"^[0-9A-Za-z_+/-]+$", UPPER + LOWER + DIGITS + "-_"),
 ]
+#: Least lengths of tokens by encoding; 16 for the others.
+LEAST_LENGTHS = {"digits": 20, "lower": 40, "upper": 40, "letters": 20}
 BINS = 100
+#: Imagined tokens of a stratum and the share of random ones among them.
+PRIOR, PRIOR_RANDOM = 200, 0.5
 NO_SPANS = "array<struct<kind:string,start:int,end:int,rank:int>>"
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array's values before each one, in blocks of about the square root of their number, so that a long array isn't copied for each value."""
+
+    def before(x: Column) -> Column:
+        first = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("done"))
+        return F.aggregate(x, first, lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["done"], F.array(a["sum"])).alias("done")), lambda a: a["done"])
+
+    def of(x: Column, n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / n).cast("int")), lambda k: F.slice(x, k * n + 1, n))
+
+        def moved(b: Column) -> Column:
+            sums = F.transform(b, lambda y: F.aggregate(y, F.lit(0), lambda u, v: u + v))
+            return F.flatten(F.zip_with(b, before(sums), lambda y, at: F.transform(before(y), lambda v: v + at)))
+
+        return let(blocks, moved)
+
+    return let(sizes, lambda x: let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda n: of(x, n)))
+
+
 def located(text: Column, pattern: str, body) -> Column:
     """``body(matches, bounds)`` of the matched texts and their (start, end) in code points; null if there is no match.
 
@@ -48,19 +83,12 @@ def located(text: Column, pattern: str, body) -> Column:
     """
 
     def bounds(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-
-        def of(g: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("done"))
+        def of(gaps: Column) -> Column:
+            gap = lambda i: F.length(F.get(gaps, i))
+            sizes = F.transform(found, lambda f, i: F.length(f) + gap(i))
+            return F.zip_with(running(sizes), F.transform(found, lambda f, i: F.struct(F.length(f).alias("n"), gap(i).alias("gap"))), lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end")))
 
-            def step(a: Column, i: Column) -> Column:
-                start = a["at"] + F.get(g, i)
-                end = start + F.length(F.get(found, i))
-                return F.struct(end.alias("at"), F.concat(a["done"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("done"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda a: a["done"])
-
-        return F.when(F.size(found) > 0, let(gaps, lambda g: let(of(g), lambda b: body(found, b))))
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda g: let(of(g), lambda b: body(found, b))))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), bounds)
 
@@ -75,8 +103,7 @@ def base_spans(text: Column) -> Column:
             return F.filter(let(sized, every), lambda x: x["rank"].isNotNull())
 
         # most texts hold no match that is long enough, so positions are worked out only where one is
-        short = {"assign": ASSIGN.replace("]+)", "]{6,})"), "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}[kind]
-        return F.coalesce(F.when(text.rlike(short), located(text, pattern, body)), F.array().cast(NO_SPANS))
+        return F.coalesce(F.when(text.rlike(LONG.get(kind, ASSIGN.replace("]+)", "]{6,})"))), located(text, LONG.get(kind, pattern), body)), F.array().cast(NO_SPANS))
 
     every = F.concat(*(spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE_KINDS)))
     return ordered(every)
@@ -131,31 +158,64 @@ def randomness(token: Column, alphabet: Column) -> Column:
     return upper_tail(cube_root_normal(even * even + let(codes, series), F.lit(3.0)))
 
 
+#: Code points of a block of text.
+BLOCK = 4096
+
+
+def uncovered(spans: Column) -> Column:
+    """For each span, by start: where the text before it that no earlier span covers begins (from 1), its length, the
+    letters that the span covers first, and whether it begins after all earlier ones."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,n:int,own:int,fresh:boolean>>").alias("parts"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = F.greatest(a["at"], x["start"])
+        part = F.struct((a["at"] + 1).alias("lo"), (begin - a["at"]).alias("n"), F.greatest(x["end"] - begin, F.lit(0)).alias("own"), (x["start"] >= a["at"]).alias("fresh"))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["parts"], F.array(part)).alias("parts"))
+
+    return F.aggregate(spans, first, step)
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with what each span (by start) covers replaced by ``by`` of its part as uncovered() gives it."""
+
+    # a substring is sought from the beginning of its text, so pieces are taken from the few blocks that they lie in
+    whole = lambda x: F.floor(x / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), whole(F.length(text))), lambda k: F.substring(text, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def put(a: Column, b: Column) -> Column:
+        piece = lambda lo, n: F.substring(F.array_join(F.slice(b, whole(lo - 1) + 1, whole(lo - 1 + n) - whole(lo - 1) + 1), ""), F.pmod(lo - 1, F.lit(BLOCK)) + 1, n)
+        left = F.transform(a["parts"], lambda g: F.concat(piece(g["lo"], g["n"]), by(g)))
+        return F.concat(F.array_join(left, ""), F.substring(text, a["at"] + 1, F.length(text)))
+
+    return let(spans, lambda s: F.when(F.size(s) > 0, let(uncovered(s), lambda a: let(blocks, lambda b: put(a, b)))).otherwise(text))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Long tokens outside the base spans that mix letters and digits: start, end, stratum and p-value."""
+    """Long tokens that no base span touches: start, end, stratum and p-value."""
+    least = F.array(*(F.lit(LEAST_LENGTHS.get(e[0], 16)) for e in ENCODINGS))
+    names, alphabets = (F.array(*(F.lit(e[j]) for e in ENCODINGS)) for j in (0, 2))
 
-    def body(found: Column, at: Column) -> Column:
-        mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-        alone = lambda b: ~F.exists(base, lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"]))
+    def encoding(t: Column) -> Column:
+        code = F.lit(len(ENCODINGS) - 1)
+        for k, (_, pattern, _) in reversed([*enumerate(ENCODINGS)][:-1]):
+            code = F.when(t.rlike(pattern), F.lit(k)).otherwise(code)
+        return code
 
-        def judge(t: Column, b: Column) -> Column:
-            code = F.lit(len(ENCODINGS) - 1)
-            for k, (_, pattern, _) in reversed([*enumerate(ENCODINGS)][:-1]):
-                code = F.when(t.rlike(pattern), F.lit(k)).otherwise(code)
-            names, alphabets = (F.array(*(F.lit(e[j]) for e in ENCODINGS)) for j in (0, 2))
-            stratum = lambda c: F.concat_ws(":", F.get(names, c), F.least(F.floor(F.log2(F.length(t).cast("double"))), F.lit(20)).cast("string"))
-            p = lambda c: let(F.get(alphabets, c), lambda x: randomness(t, x))
-            return let(code, lambda c: F.struct(b["start"].alias("start"), b["end"].alias("end"), stratum(c).alias("stratum"), p(c).alias("p")))
+    def body(found: Column, at: Column) -> Column:
+        mixed = lambda t, c: (c < len(LEAST_LENGTHS)) | t.rlike("[0-9]") & t.rlike("[A-Za-z]")
 
-        every = F.transform(at, lambda b, i: F.when(mixed(F.get(found, i)) & alone(b), judge(F.get(found, i), b)))
-        return F.filter(every, lambda x: x.isNotNull())
+        def judge(t: Column, b: Column, c: Column) -> Column:
+            stratum = F.concat_ws(":", F.get(names, c), F.least(F.floor(4 * F.log2(F.length(t).cast("double"))), F.lit(80)).cast("string"))
+            return F.struct(b["start"].alias("start"), b["end"].alias("end"), stratum.alias("stratum"), let(F.get(alphabets, c), lambda x: randomness(t, x)).alias("p"))
 
-    none = F.array().cast("array<struct<start:int,end:int,stratum:string,p:double>>")
-    return F.coalesce(F.when(text.rlike(TOKEN), located(text, TOKEN, body)), none)
+        def one(b: Column, t: Column) -> Column:
+            return let(encoding(t), lambda c: F.when((F.length(t) >= F.get(least, c)) & mixed(t, c) & ~F.contains(t, F.lit(COVERED)), judge(t, b, c)))
 
+        return F.filter(F.transform(at, lambda b, i: one(b, F.get(found, i))), lambda x: x.isNotNull())
 
-#: Strata of fewer tokens than this tell too little about themselves; this p-value holds for them.
-FEW_TOKENS, FEW_LEAST = 20, 0.05
+    none = F.array().cast("array<struct<start:int,end:int,stratum:string,p:double>>")
+    masked = replaced(text, base, lambda g: F.repeat(F.lit(COVERED), g["own"]))
+    return F.coalesce(F.when(text.rlike(TOKEN), let(masked, lambda m: located(m, TOKEN, body))), none)
 
 
 @dataclass
@@ -170,30 +230,38 @@ class Thresholds:
 
 
 def thresholds(histogram: dict[str, dict[int, int]], rate: float) -> Thresholds:
-    """From counts of p-values in BINS bins by stratum."""
+    """From counts of p-values in BINS bins by stratum.
+
+    The imagined tokens are half random, spread evenly, and half ordinary, in the lowest bin.
+    Where the upper half falls off by more than chance, its last quarter tells how many tokens are random.
+    """
     out = Thresholds()
     for stratum, bins in histogram.items():
-        above = lambda b, bins=bins: sum(n for k, n in bins.items() if k >= b)
-        if above(0) < FEW_TOKENS:
-            out.least[stratum] = FEW_LEAST
-            continue
-        truly = 2 * above(BINS // 2)
+        even = PRIOR * PRIOR_RANDOM / BINS
+        above = lambda b, bins=bins: sum(n for k, n in bins.items() if k >= b) + even * (BINS - b)
+        last = above(3 * BINS // 4)
+        third = above(BINS // 2) - last
+        truly = 4 * last if third > last + 3 * (third + last) ** 0.5 else 2 * (third + last)
         for b in range(1, BINS // 2 + 1):
-            if truly and 1 - (1 - b / BINS) * truly / max(above(b), 1) <= rate:
+            if 1 - (1 - b / BINS) * truly / above(b) <= rate:
                 out.least[stratum] = b / BINS
                 break
     return out
 
 
+#: The column of with_spans(); no table that it is used on may have one of this name.
+SPANS = "_densegraph_spans"
+
+
 def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """The input with ``_s``: its base spans and the candidates of the tests."""
+    """The input with SPANS: its base spans and the candidates of the tests. A null text has none; other columns and repeated rows stay."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_s", let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("found"))))
+    return docs.withColumn(SPANS, let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("found"))))
 
 
 def learn(found: DataFrame, rate: float) -> Thresholds:
     """Thresholds from the p-values of all documents; what is collected is at most encodings x lengths x bins counts."""
-    each = found.select(F.explode("_s.found").alias("x")).select("x.stratum", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).alias("bin"))
+    each = found.select(F.explode(f"{SPANS}.found").alias("x")).select("x.stratum", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).alias("bin"))
     histogram: dict[str, dict[int, int]] = {}
     for r in each.groupBy("stratum", "bin").count().collect():
         histogram.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
@@ -205,13 +273,13 @@ def secret_spans(docs: DataFrame, *, text_col: str = "text", rate: float = 0.05,
 
     Positions count code points, end exclusive. ``secret_spans`` adds spans of kind ``random`` to
     the base ones, which stay. A null or empty text has none; null ids stay; repeated rows
-    get the same spans; an empty table gives no rows. ``found`` is the table of
-    ``with_spans`` if the caller has written it already.
+    get the same spans; an empty table gives no rows. Input columns of the two results' names are replaced, all others
+    stay. ``found`` is the table of ``with_spans`` if the caller has written it already.
     """
     found = with_spans(docs, text_col) if found is None else found
     limits = learn(found, rate)
-    random = F.transform(F.filter("_s.found", limits.random), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(len(BASE_KINDS)).alias("rank")))
-    return found.withColumns({"base_spans": F.col("_s.base"), "secret_spans": ordered(F.concat("_s.base", random))}).drop("_s")
+    random = F.transform(F.filter(f"{SPANS}.found", limits.random), lambda x: F.struct(F.lit("random").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(len(BASE_KINDS)).alias("rank")))
+    return found.withColumns({"base_spans": F.col(f"{SPANS}.base"), "secret_spans": ordered(F.concat(f"{SPANS}.base", random))}).drop(SPANS)
 
 
 def listed(spans: Column) -> Column:
@@ -219,15 +287,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[REDACTED]", rate: float = 0.05) -> DataFrame:
-    """The input with every secret span of its texts replaced by ``mark``; overlapping spans get one mark. Null texts stay null."""
-    spans = secret_spans(docs, text_col=text_col, rate=rate)
-    text = F.col(text_col)
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[REDACTED]", rate: float = 0.05, found: DataFrame | None = None) -> DataFrame:
+    """The input with every secret span of its texts replaced by ``mark``; overlapping spans get one mark.
 
-    def step(a: Column, s: Column) -> Column:
-        put = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.when(s["start"] >= a["at"], put).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    Null and empty texts stay as they are, as do rows with null ids, repeated rows and all other columns, whatever their names;
+    an empty table gives no rows. ``found`` is the table of ``with_spans`` over these rows if the caller has written it already.
+    """
+    found = with_spans(docs, text_col) if found is None else found
+    limits = learn(found, rate)
+    text = F.col(text_col)
+    bounds = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    spans = F.sort_array(F.concat(F.transform(f"{SPANS}.base", bounds), F.transform(F.filter(f"{SPANS}.found", limits.random), bounds)))
 
-    clean = F.aggregate("secret_spans", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return spans.withColumn(text_col, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("base_spans", "secret_spans")
+    cut = replaced(text, spans, lambda g: F.when(g["fresh"], F.lit(mark)).otherwise(F.lit("")))
+    return found.withColumn(text_col, cut.cast("string")).drop(SPANS)
