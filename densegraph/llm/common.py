@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densegraph.plans.tables import settled, shared_folder
+
+#: Writes a table to the shared folder and reads it again, which cuts the lineage.
+save = settled
+__all__ = ["BROADCAST_IDS", "SPACES", "HashCache", "chosen", "let", "mix", "multipliers", "save", "shared_folder", "window_hashes", "words_of"]
+
 #: The class of white space of every word pattern here: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="densegraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+#: The most ids that are broadcast to choose rows, 16 MB of longs; for more, ids and rows are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def chosen(docs: DataFrame, ids: DataFrame, how: str = "left_semi", *, most: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in the one column of ``ids`` (``left_anti``: is not, nulls included)."""
+    ids = save(ids.toDF("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids, "doc_id", how)
 
 
 def let(value: Column, body) -> Column:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densegraph.llm.common import chosen
+
 #: BM25's constants, postings in a block, and the most items in one index; more items are searched in several indexes.
 K1, B, BLOCK, MOST_ITEMS = 1.2, 0.75, 64, 20_000
 MARKS = ".,;:!?\"'()[]{}<>«»„“”"
@@ -294,6 +296,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.6, w
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those in which an item is found. Rows without an id are kept."""
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The documents without those in which an item is found, with all their columns.
+
+    Rows with a null id and null or empty texts are kept, as are repeated rows of a clean id; of an id whose texts differ all rows
+    go if one holds an item. An empty table gives no rows, an empty benchmark all.
+    """
+    return chosen(docs, contaminated(docs, benchmark, **options).select("doc_id"), "left_anti").select(*docs.columns)

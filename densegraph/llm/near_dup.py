@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densegraph.llm.common import HashCache, mix, multipliers, save, window_hashes
+from densegraph.llm.common import HashCache, chosen, mix, multipliers, save, window_hashes
 
 #: A pair at similarity 0.8 shares none of 36 bands of 5 samples with a chance of 6e-7.
 BANDS, ROWS = 36, 5
@@ -32,8 +32,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 #: The same of the sketches for the last search, where a pair that is ruled out is lost: 5 standard deviations of samples and parities together.
 FINE_SAMPLES, FINE_LONGS, FINE_SLACK = 2048, 32, 0.07
 FINE = [f"f{i}" for i in range(FINE_LONGS)]
-#: The most ids that are broadcast to choose texts, 16 MB of longs; for more, ids and texts are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Rows of a block of a band in the last search.
+CELL_ROWS = 512
 
 
 def shingle_set(text: str | None, width: int, cache: HashCache) -> np.ndarray:
@@ -101,12 +101,6 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in the one column of ``ids``."""
-    ids = save(ids.toDF("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
 def fine_sketches(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and its fine sketch, for the given nodes among the rows of (doc_id, text)."""
 
@@ -119,7 +113,7 @@ def fine_sketches(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     bits[i] = odd_sketch(samples(s, FINE_SAMPLES), FINE_LONGS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["node", *FINE])
 
-    return of_ids(docs, nodes).mapInArrow(run, "node long, " + ", ".join(f"{s} long" for s in FINE)).distinct()
+    return chosen(docs, nodes).mapInArrow(run, "node long, " + ", ".join(f"{s} long" for s in FINE)).distinct()
 
 
 def alike(a: str, b: str, similarity: float, sketch: list[str], limit: int) -> Column:
@@ -139,7 +133,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["id", "shingles"])
 
     wanted = pairs.select("hub").union(pairs.select("node"))
-    sets = save(of_ids(docs, wanted).mapInArrow(run, "id long, shingles array<long>").distinct())
+    sets = save(chosen(docs, wanted).mapInArrow(run, "id long, shingles array<long>").distinct())
     own = pairs.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("y")).hint("merge"), "node")
     both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("x")).hint("merge"), "hub")  # a hub's set is read once, not sent with each pair
     shared = F.size(F.array_intersect("x", "y"))
@@ -165,14 +159,36 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
+def of_one_id(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (hub, node) between the classes of texts (doc_id, digest) that one id bears."""
+    at = texts.distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    return at.join(at.groupBy("doc_id").agg(F.min("node").alias("hub")), "doc_id").where("hub < node").select("hub", "node").distinct()
+
+
+def cell(a: Column, b: Column) -> Column:
+    """The number of an unordered pair of blocks."""
+    return F.greatest(a, b) * (F.greatest(a, b) + 1) / 2 + F.least(a, b)
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """The rows of each band in blocks of about CELL_ROWS, each row once for every block that its own is paired with: band, block, cell and the rest.
+
+    Every pair of rows of a band meets in the one cell of their blocks, so a band that many rows share is work for many tasks.
+    """
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = rows.join(sizes, "band").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("cell", cell(F.col("block"), F.col("with"))).drop("blocks", "with")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every input row.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of ``width``-word
     shingles (letters A-Z in lower case; a shorter text is one shingle). ``component_id`` is
     the least id reachable over links; ``kept`` marks the document that bears it. Null or empty
-    texts have no shingles and are linked with nothing. Rows with one id are one document, so
-    what one of them links is linked. Rows with a null id are linked with nothing, get a null
+    texts have no shingles and are linked with nothing. Rows with one id are one document: all of them get one
+    component, and what one of them links is linked. Rows with a null id are linked with nothing, get a null
     component and are kept. An empty table gives no rows.
     """
     similarity = percent / 100
@@ -195,9 +211,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     members = classes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi").select("band", "hub")
     shared = save(members.join(hubs.hint("merge"), "band").select("band", "node", "hub"))
-    near = save(of_ids(docs, shared.select("node")))  # what follows reads these texts only
+    near = save(chosen(docs, shared.select("node")))  # what follows reads these texts only
     pairs = save(candidates(shared.where("hub < node").select("hub", "node")))
-    links = save(confirmed(pairs, near, width, percent))
+    several = save(sig.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id"))
+    repeated = not several.isEmpty()  # ids that bear several texts
+    links = confirmed(pairs, near, width, percent)
+    if repeated:
+        links = links.unionByName(of_one_id(chosen(sig.select("doc_id", "digest"), several), classes))
+    links = save(links)
     named = components(links)
     rest = still_open(shared.select("band", "node"), named)
 
@@ -217,8 +238,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     fine = save(fine_sketches(near, rest.select("node"), width))
     rest = save(rest.join(classes.select("node", "n_shingles", "bands"), "node").withColumn("before", before).drop("bands").join(fine, "node"))
     possible = alike("p", "q", similarity, FINE, sketch_limit(similarity - FINE_SLACK, FINE_SAMPLES, FINE_LONGS))
-    p, q = rest.alias("p"), rest.alias("q")
-    across = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component")) & possible & ~F.arrays_overlap("p.before", "q.before"))
+    dealt = save(in_cells(rest))
+    p, q = dealt.alias("p"), dealt.alias("q")
+    met = (F.col("p.band") == F.col("q.band")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.cell") == cell(F.col("p.block"), F.col("q.block")))
+    across = p.join(q, met & (F.col("p.component") < F.col("q.component")) & possible & ~F.arrays_overlap("p.before", "q.before"))
     found = across.select(F.least("p.node", "q.node").alias("hub"), F.greatest("p.node", "q.node").alias("node")).distinct()
     more = save(found.join(pairs, ["hub", "node"], "left_anti"))
     if not more.isEmpty():
@@ -226,6 +249,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     of_class = classes.select("digest", "node").join(named, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    # rows of one id with several texts take the least component of them
     own = F.coalesce("component_id", "doc_id")
+    if repeated:  # a text without shingles takes the component of the others of its id
+        least = chosen(out, several).groupBy("doc_id").agg(F.min(own).alias("least"))
+        out = out.join(least, "doc_id", "left")
+        own = F.least(own, "least")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from densegraph.llm import cotrain, decontaminate, html_text, near_dup, quality_rules, queries, secrets, spm, substring, token_count, toxicity
+from densegraph.llm import common, cotrain, decontaminate, html_text, near_dup, quality_rules, queries, secrets, spm, substring, token_count, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "x y z", "ß é 😀 é", "<|endoftext|> it's </s>", "word " * 3000, "k" * 900, "A\x1cb\x85c\xa0d", "same text here", "same text here"]
@@ -111,6 +111,8 @@ def test_secrets(spark):
     got = [[r[0], r[1]] for r in secrets.secret_spans(spark.createDataFrame([(t,) for t in texts], "text string")).select(secrets.listed(F.col("base_spans")), secrets.listed(F.col("secret_spans"))).collect()]
     assert [g[0] for g in got] == ["assign:0:18", "access:0:20", "hex:0:24,assign:25:42", "assign:40:54", ""]
     assert got[3][1] == "random:4:36,assign:40:54" and got[4][1] == ""
+    kept = spark.createDataFrame([(None, texts[3], 1, 2, 3)], "doc_id long, text string, base_spans int, _s int, secret_spans int")
+    assert secrets.redact(kept).columns == kept.columns and secrets.redact(kept).first()[2:] == (1, 2, 3)
     clean = [r[0] for r in secrets.redact(spark.createDataFrame([(texts[3],)], "text string")).collect()]
     assert clean == ["key [REDACTED] é😀 [REDACTED]"]
 
@@ -152,11 +154,27 @@ def test_near_duplicates_of_many_edits(spark, monkeypatch):
     while (new := [min(name[b] for b in range(len(sets)) if close[a][b]) for a in range(len(sets))]) != name:
         name = new
     assert 1 < len(set(name)) < len(name)
-    for most in (near_dup.BROADCAST_IDS, 0):  # ids broadcast, then shuffled
-        monkeypatch.setattr(near_dup, "BROADCAST_IDS", most)
+    for most in (common.BROADCAST_IDS, 0):  # ids broadcast, then shuffled
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
         assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()} == dict(enumerate(name))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(2, b), (5, a), (5, b), (7, a), (8, c), (8, ""), (9, None), (9, c), (9, c), (None, a), (None, "")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(2, 2, True), (5, 2, False), (5, 2, False), (7, 2, False), (8, 8, True), (8, 8, True), (9, 8, False), (9, 8, False), (9, 8, False), (None, None, True), (None, None, True)], key=str)
+
+
+def test_pairs_meet_in_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CELL_ROWS", 4)
+    rows = near_dup.in_cells(spark.createDataFrame([(b, n) for b, size in ((1, 23), (2, 3)) for n in range(size)], "band long, node long"))
+    p, q = rows.alias("p"), rows.alias("q")
+    met = p.join(q, F.expr("p.band = q.band AND p.cell = q.cell AND p.node < q.node")).where(F.col("p.cell") == near_dup.cell(F.col("p.block"), F.col("q.block")))
+    got = [tuple(r) for r in met.select("p.band", "p.node", "q.node").collect()]
+    assert sorted(got) == sorted((b, m, n) for b, size in ((1, 23), (2, 3)) for m in range(size) for n in range(m + 1, size))
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
