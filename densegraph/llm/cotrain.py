@@ -25,14 +25,14 @@ SOURCES, LANGS, LENGTHS = 64, 16, 12
 
 def text_features(docs: DataFrame) -> DataFrame:
     """The input with ``_text``: figures of the content, all between 0 and 1."""
-    n = F.greatest(F.col("_w.n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("_w.word_chars"), F.lit(1)).cast("double")
+    n = F.greatest(F.col("_dg_w.n_words"), F.lit(1)).cast("double")
+    chars = F.greatest(F.col("_dg_w.word_chars"), F.lit(1)).cast("double")
     cap = lambda x: F.least(x, F.lit(1.0))
     return docs.withColumn(
         "_text",
         F.array(
-            cap(F.log1p(n) / 10), cap(F.col("_c.n_symbols") / n), cap(F.col("_c.n_symbols") / n * 10), cap(F.col("_c.upper") / chars), cap(F.col("_c.marks") / n), cap(F.col("_c.stops") / n * 2),
-            cap(F.col("_w.n_repeat_words") / n), cap(F.col("_l.n_dup_lines") / F.greatest(F.col("_l.lines"), F.lit(1))), cap(F.col("_w.function_words") / 10.0), (F.col("_w.function_words") >= 2).cast("double"),
+            cap(F.log1p(n) / 10), cap(F.col("_dg_c.n_symbols") / n), cap(F.col("_dg_c.n_symbols") / n * 10), cap(F.col("_dg_c.upper") / chars), cap(F.col("_dg_c.marks") / n), cap(F.col("_dg_c.stops") / n * 2),
+            cap(F.col("_dg_w.n_repeat_words") / n), cap(F.col("_dg_l.n_dup_lines") / F.greatest(F.col("_dg_l.lines"), F.lit(1))), cap(F.col("_dg_w.function_words") / 10.0), (F.col("_dg_w.function_words") >= 2).cast("double"),
             cap(chars / n / 20), (n < 20).cast("double"),
         ),
     )

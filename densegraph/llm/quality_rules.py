@@ -50,7 +50,7 @@ COUNTED = r"[^#*$%&|<>.!?A-ZÄÖÜÉÈÀÇÊÑÓÍ]+"
 
 
 def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The input with structs ``_w`` and ``_c`` of the figures that the rules use, and ``_failed``."""
+    """The input with structs ``_dg_w`` and ``_dg_c`` of the figures that the rules use, and ``_dg_failed``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     count = lambda x, letters: F.length(F.regexp_replace(x, f"[^{letters}]+", "")).cast("long")
@@ -69,14 +69,14 @@ def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     def letters(x: Column) -> Column:
         return F.struct(count(x, "#*$%&|<>").alias("n_symbols"), count(x, "!?").alias("marks"), count(x, ".!?").alias("stops"), count(x, "A-ZÄÖÜÉÈÀÇÊÑÓÍ").alias("upper"))
 
-    parts = {"_w": let(words_of(F.col(text_col).cast("string")), figures), "_l": let(filled, lines), "_c": let(F.regexp_replace(text, COUNTED, ""), letters)}
-    return docs.withColumns(parts).withColumn("_failed", (F.col("_w.n_words") < 20) | (100 * F.col("_w.n_repeat_words") > 30 * F.col("_w.n_words")))
+    parts = {"_dg_w": let(words_of(F.col(text_col).cast("string")), figures), "_dg_l": let(filled, lines), "_dg_c": let(F.regexp_replace(text, COUNTED, ""), letters)}
+    return docs.withColumns(parts).withColumn("_dg_failed", (F.col("_dg_w.n_words") < 20) | (100 * F.col("_dg_w.n_repeat_words") > 30 * F.col("_dg_w.n_words")))
 
 
 def votes() -> dict[str, Column]:
     """Each rule's vote on the figures: 1 good, -1 bad, 0 abstains."""
-    n = F.greatest(F.col("_w.n_words"), F.lit(1))
-    chars = F.greatest(F.col("_w.word_chars"), F.lit(1))
+    n = F.greatest(F.col("_dg_w.n_words"), F.lit(1))
+    chars = F.greatest(F.col("_dg_w.word_chars"), F.lit(1))
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
@@ -85,13 +85,13 @@ def votes() -> dict[str, Column]:
     return {
         "length": vote(n >= 50, n < 20),
         "word_length": vote(chars.between(3 * n, 9 * n), (chars < 2 * n) | (chars > 15 * n)),
-        "symbols": vote(share("_c.n_symbols", n) < 0.05, share("_c.n_symbols", n) > 0.3),
-        "repeats": vote(share("_w.n_repeat_words", n) < 0.1, share("_w.n_repeat_words", n) > 0.3),
-        "lines": vote(F.col("_l.n_dup_lines") == 0, 3 * F.col("_l.n_dup_lines") > F.col("_l.lines")),
-        "capitals": vote(share("_c.upper", chars) < 0.15, share("_c.upper", chars) > 0.4),
-        "marks": vote(share("_c.marks", n) < 0.1, share("_c.marks", n) > 0.5),
-        "function_words": vote(F.col("_w.function_words") >= 2, (F.col("_w.function_words") == 0) & (n >= 50)),
-        "sentences": vote(share("_c.stops", n).between(0.02, 0.5), (F.col("_c.stops") == 0) & (n >= 50)),
+        "symbols": vote(share("_dg_c.n_symbols", n) < 0.05, share("_dg_c.n_symbols", n) > 0.3),
+        "repeats": vote(share("_dg_w.n_repeat_words", n) < 0.1, share("_dg_w.n_repeat_words", n) > 0.3),
+        "lines": vote(F.col("_dg_l.n_dup_lines") == 0, 3 * F.col("_dg_l.n_dup_lines") > F.col("_dg_l.lines")),
+        "capitals": vote(share("_dg_c.upper", chars) < 0.15, share("_dg_c.upper", chars) > 0.4),
+        "marks": vote(share("_dg_c.marks", n) < 0.1, share("_dg_c.marks", n) > 0.5),
+        "function_words": vote(F.col("_dg_w.function_words") >= 2, (F.col("_dg_w.function_words") == 0) & (n >= 50)),
+        "sentences": vote(share("_dg_c.stops", n).between(0.02, 0.5), (F.col("_dg_c.stops") == 0) & (n >= 50)),
     }
 
 
@@ -146,6 +146,12 @@ def learn(figures: DataFrame) -> VoteModel:
     return fit({tuple(r[k] for k in rules): r["count"] for r in rows}, list(rules))
 
 
+def verdict(figures: DataFrame, threshold: float = 0.5) -> tuple[Column, Column]:
+    """The posterior probability that a document is good, and whether it is kept, as columns over the figures that the model was fitted to."""
+    quality = 1 / (1 + F.exp(-learn(figures).log_odds()))
+    return quality, ~F.col("_dg_failed") & (quality >= threshold)
+
+
 def quality_rules(docs: DataFrame, *, threshold: float = 0.5, text_col: str = "text", figures: DataFrame | None = None) -> DataFrame:
     """The input's columns and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept``.
 
@@ -155,10 +161,9 @@ def quality_rules(docs: DataFrame, *, threshold: float = 0.5, text_col: str = "t
     empty table gives no rows. Columns of the input that have the names of results are replaced.
     """
     figures = statistics(docs, text_col=text_col) if figures is None else figures
-    model = learn(figures)
-    quality = 1 / (1 + F.exp(-model.log_odds()))
+    quality, kept = verdict(figures, threshold)
     out = {
-        "n_words": F.col("_w.n_words"), "word_chars": F.col("_w.word_chars"), "n_symbols": F.col("_c.n_symbols"), "n_dup_lines": F.col("_l.n_dup_lines"),
-        "n_repeat_words": F.col("_w.n_repeat_words"), "base_failed": F.col("_failed"), "quality": quality, "kept": ~F.col("_failed") & (quality >= threshold),
+        "n_words": F.col("_dg_w.n_words"), "word_chars": F.col("_dg_w.word_chars"), "n_symbols": F.col("_dg_c.n_symbols"), "n_dup_lines": F.col("_dg_l.n_dup_lines"),
+        "n_repeat_words": F.col("_dg_w.n_repeat_words"), "base_failed": F.col("_dg_failed"), "quality": quality, "kept": kept,
     }
-    return figures.withColumns(out).drop("_w", "_l", "_c", "_failed")
+    return figures.withColumns(out).drop("_dg_w", "_dg_l", "_dg_c", "_dg_failed")
