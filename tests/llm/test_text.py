@@ -229,8 +229,42 @@ def test_substring_and_its_index(spark, tmp_path):
     index = substring.FingerprintIndex(spark, str(tmp_path), parts=4, most_runs=1)
     for batch in (texts[:4], texts[4:8], texts[8:]):  # what earlier batches held is gone from later ones
         last = [r["kept_text"] for r in substring.substring_dedup(docs(batch), index=index).orderBy("doc_id").collect()]
-    assert len(index.paths) == 1 and not any(part[0] in t for t in last)
+        index = substring.FingerprintIndex(spark, str(tmp_path), most_runs=1)  # opened again
+    assert len(index.paths) == 1 and index.parts == 4 and not any(part[0] in t for t in last)
     assert expect_substring(texts, 20, {})[8:] == last
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, str(tmp_path), width=5)
+
+
+def test_substring_index_gets_more_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring, "PART_WINDOWS", 20)
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(6)]
+    index = substring.FingerprintIndex(spark, str(tmp_path), parts=2, most_runs=1)
+    for k in (0, 3):
+        substring.substring_dedup(spark.createDataFrame(list(enumerate(texts))[k : k + 3], "doc_id long, text string"), index=index).count()
+    assert index.parts == 16 and index.windows == 6 * 41
+    new = spark.createDataFrame([(9, texts[1] + " new words " + texts[4])], "doc_id long, text string")
+    assert substring.substring_dedup(new, index=index).first()["kept_text"] == "new words"
+
+
+def test_substring_verifies_claims(spark):
+    cache, a, b = substring.HashCache(), " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    t, u = substring.Text(a, 20, cache), substring.Text(b, 20, cache)
+    told = lambda h, owners: [{"hashes": h.tobytes(), "owners": np.array(owners).tobytes(), "counts": np.array([len(h) // len(owners)] * len(owners), np.int32).tobytes(), "checks": None}]
+    assert [c[:1] + c[2:3] for c in t.claims(told(t.h, [1]), False)] == [(1, 21)] and len([*t.claims(told(t.h, [1]), True)]) == 21
+    first = int(t.h[3:4].view(np.int64)[0])
+    rows = [(2, 1, first, 4, t.digest(3, 4)), (3, 1, first, 4, u.digest(3, 4)), (4, 1, first, 19, t.digest(3, 18)), (5, 1, 77, 1, t.digest(0, 1)), (6, 8, first, 4, t.digest(3, 4))]
+    made = spark.createDataFrame(rows, substring.CLAIM)
+    got = substring.verified(made, spark.createDataFrame([(1, a), (1, b), (1, None)], "doc_id long, text string"), 20).collect()
+    assert {r["doc_id"]: r["true"] for r in got} == {2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_substring_of_texts_that_repeat_themselves(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), "to be or not " * 20
+    texts = [f"{a} x {b}", f"{b} y {a} {b}", "to be " * 50, f"{b} z", a.replace("a5", "c5"), "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, a), (None, a)], "doc_id long, text string")
+    got = [r["kept_text"] for r in substring.substring_dedup(docs).where("doc_id is not null").orderBy("doc_id").collect()]
+    assert got == expect_substring(texts, 20, {})
 
 
 def test_packed_runs():
