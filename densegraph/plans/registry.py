@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from densegraph.operators import evaluate, graph, hierarchy, knn, mst
 from densegraph.plans.tables import settled
 from densegraph.sources import files
 
-K, MPTS, SHARDS = 8, 8, 3
+#: Neighbours, density setting, least size of a cluster and shards of the queries.
+K, MPTS, CLUSTER, SHARDS = 8, 8, 3, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,23 +44,23 @@ def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(hierarchy.condensed_tree(hierarchy.single_linkage(tree(spark, sf_dir)[3]), MPTS))
+    return settled(hierarchy.condensed_tree(hierarchy.single_linkage(tree(spark, sf_dir)[3]), CLUSTER))
 
 
 def labels(c: DataFrame) -> DataFrame:
     return hierarchy.flat_labels(c, hierarchy.selected(c, hierarchy.stability(c)))
 
 
-def spread_recall(found: DataFrame, truth: DataFrame, least: float) -> DataFrame:
-    return evaluate.recall_at_k(found, truth, K).select((F.col("recall") >= least).alias("recall_ok"))
+def spread_recall(found: DataFrame, truth: DataFrame, every: DataFrame) -> DataFrame:
+    """A row for each point: entries of its list, whether all distances are true and whether half of the true neighbours at least are listed."""
+    right = knn.with_distances(found.select("q", "nbr", F.col("dist").alias("_given")), every).select("q", "nbr", (F.abs(F.col("dist") - F.col("_given")) < 1e-9).alias("right"))
+    both = right.join(truth.select("q", "nbr", F.lit(1).alias("hit")), ["q", "nbr"], "left")
+    return both.groupBy("q").agg(F.count("*").alias("listed"), F.every("right").alias("right"), (2 * F.count("hit") >= K).alias("half"))
 
 
-#: A condensed tree small enough to follow by hand.
-SMALL_TREE = [(8, 9, 0.5, 4), (8, 10, 0.5, 4), (9, 0, 1.0, 1), (9, 1, 1.0, 1), (9, 2, 2.0, 1), (9, 3, 2.0, 1), (10, 4, 1.0, 1), (10, 5, 1.0, 1), (10, 6, 4.0, 1), (10, 7, 4.0, 1)]
-
-
-def small_tree(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SMALL_TREE, hierarchy.CONDENSED)
+def same_parity(v: DataFrame) -> DataFrame:
+    """Neighbours among the points of the same parity only, a graph that lacks many true ones."""
+    return settled(knn.ranked(knn.exact_knn(v.where("vec_id % 2 = 0"), K).unionByName(knn.exact_knn(v.where("vec_id % 2 = 1"), K)).select("q", "nbr", "dist"), K))
 
 
 Q = dict[str, Callable[[SparkSession, str], DataFrame]]
@@ -75,15 +77,15 @@ def queries() -> Q:
 
     def merged(s, d):
         v, a, b, ga, gb = halves(s, d)
-        return spread_recall(knn.merge_knn(a, ga, b, gb, K), exact(s, d), 0.9)
+        return spread_recall(knn.merge_knn(a, ga, b, gb, K), exact(s, d), v)
 
     def joined(s, d):
         v, a, b, ga, _ = halves(s, d)
-        return spread_recall(knn.join_knn(a, ga, b, K), exact(s, d), 0.9)
+        return spread_recall(knn.join_knn(a, ga, b, K), exact(s, d), v)
 
     def refined(s, d):
         v = vectors(s, d)
-        return spread_recall(knn.refine(v, knn.random_knn(v, K, 3), K, iterations=10), exact(s, d), 0.9)
+        return spread_recall(knn.refine(v, knn.random_knn(v, K, 3), K, iterations=10), exact(s, d), v)
 
     def topk_merge(s, d):
         g = exact(s, d)
@@ -97,7 +99,16 @@ def queries() -> Q:
     def ari(s, d):
         a = labels(condensed(s, d)).withColumnRenamed("label", "found")
         truth = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-        return evaluate.adjusted_rand(a.join(truth, "id"), "found", "label").select(F.col("ari").between(-1, 1).alias("in_range"))
+        return rounded(evaluate.adjusted_rand(a.join(truth, "id"), "found", "label"), "ari")
+
+    def selection(s, d):
+        c = condensed(s, d)
+        stable = settled(hierarchy.stability(c))
+        return stable.select("cluster", F.col("cluster").isin(hierarchy.selected(c, stable)).alias("selected"))
+
+    def blobs(s, d):
+        each = files.generated(s, 7000).groupBy("truth").agg(F.max(F.size("embedding")).alias("dim"), F.round(F.stddev(F.get("embedding", F.lit(0))), 1).alias("noise"))
+        return each.select("truth", "dim", "noise")
 
     def shards(s, d):
         v = vectors(s, d)
@@ -109,12 +120,12 @@ def queries() -> Q:
     return {
         "vector_norm": lambda s, d: vectors(s, d).select("vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
         "pairwise_l2": lambda s, d: rounded(knn.pairwise(vectors(s, d).where("vec_id % 20 = 0"), vectors(s, d)), "dist"),
-        "l2_by_dot": lambda s, d: vectors(s, d).alias("a").join(vectors(s, d).alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(V.l2_by_dot("a.embedding", "b.embedding"), 5).alias("dist")),
+        "l2_by_dot": lambda s, d: vectors(s, d).where("vec_id % 20 = 0").alias("a").join(vectors(s, d).alias("b"), F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("nbr"), F.round(V.l2_by_dot("a.embedding", "b.embedding"), 5).alias("dist")),
         "knn_exact": lambda s, d: rounded(knn.exact_knn(vectors(s, d), K), "dist"),
         "nearest_neighbor": lambda s, d: exact(s, d, 1).select("q", "nbr"),
         "header_metadata": lambda s, d: vectors(s, d).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")),
         "vector_slice": lambda s, d: vectors(s, d).where("vec_id between 100 and 199").select("vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
-        "gather_vectors": lambda s, d: vectors(s, d).join(exact(s, d).where("q = 0").select(F.col("nbr").alias("vec_id")), "vec_id", "left_semi").select("vec_id"),
+        "gather_vectors": lambda s, d: exact(s, d).select("q", "rank", F.col("nbr").alias("vec_id")).join(vectors(s, d), "vec_id").select("q", "rank", "vec_id", F.round(V.norm_sq("embedding"), 6).alias("norm_sq")),
         "shard_layout": shards,
         "min_positive_nn": lambda s, d: rounded(graph.min_positive_nearest(exact(s, d)), "min_dist"),
         "in_degree": lambda s, d: graph.in_degree(exact(s, d)),
@@ -139,113 +150,163 @@ def queries() -> Q:
         "core_sg_reweight_mpts4": lambda s, d: core_sg(s, d, 4),
         "single_linkage": lambda s, d: rounded(hierarchy.single_linkage(tree(s, d)[3]), "weight"),
         "condensed_tree": lambda s, d: rounded(condensed(s, d), "lambda"),
-        "stability": lambda s, d: hierarchy.stability(small_tree(s)),
-        "cluster_selection": lambda s, d: hierarchy.flat_labels(c := small_tree(s), hierarchy.selected(c, hierarchy.stability(c))),
-        "tree_extrema": lambda s, d: hierarchy.tree_extrema(small_tree(s)),
+        "stability": lambda s, d: rounded(hierarchy.stability(condensed(s, d)), "stability"),
+        "cluster_selection": selection,
+        "tree_extrema": lambda s, d: rounded(hierarchy.tree_extrema(condensed(s, d)), "max_lambda"),
         "cluster_labels": lambda s, d: labels(condensed(s, d)),
-        "nndescent": lambda s, d: spread_recall(knn.nndescent(vectors(s, d), K, iterations=10), exact(s, d), 0.9),
+        "nndescent": lambda s, d: spread_recall(knn.nndescent(vectors(s, d), K, iterations=10), exact(s, d), vectors(s, d)),
         "nndescent_refine": refined,
         "knn_merge": merged,
         "knn_join": joined,
-        "knn_sharded": lambda s, d: spread_recall(knn.sharded_knn(vectors(s, d), K, SHARDS), exact(s, d), 0.9),
+        "knn_sharded": lambda s, d: spread_recall(knn.sharded_knn(vectors(s, d), K, SHARDS), exact(s, d), vectors(s, d)),
         "graph_topk_merge": topk_merge,
         "concatenate_sets": lambda s, d: knn.concatenated(v := vectors(s, d), v).agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id")),
-        "recall_at_k": lambda s, d: evaluate.recall_at_k(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
-        "positional_recall": lambda s, d: evaluate.positional_recall(exact(s, d).where("rank % 2 = 1"), exact(s, d), K),
+        "recall_at_k": lambda s, d: rounded(evaluate.recall_at_k(same_parity(vectors(s, d)), exact(s, d), K), "recall"),
+        "positional_recall": lambda s, d: rounded(evaluate.positional_recall(same_parity(vectors(s, d)), exact(s, d), K), "recall"),
         "ari": lambda s, d: rounded(evaluate.adjusted_rand(table(s, d, "labels"), "quality", "toxic"), "ari"),
         "ari_of_clusters": ari,
         "knn_text_export": lambda s, d: files.graph_text(exact(s, d, 3)),
-        "generator": lambda s, d: files.generated(s, 7000).agg(F.count("*").alias("n"), F.countDistinct("truth").alias("clusters")),
+        "generator": blobs,
     }
 
 
-def _sql(k: int = K) -> str:
-    return f"""
-WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-d AS (
-  SELECT a.vec_id AS q, b.vec_id AS nbr, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
-  FROM e a JOIN e b ON a.vec_id <> b.vec_id
-),
-knn AS (SELECT * FROM (SELECT q, nbr, dist, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM d) WHERE rank <= {k}),
-deg AS (SELECT v.vec_id AS id, count(k.q)::BIGINT AS in_degree FROM e v LEFT JOIN knn k ON k.nbr = v.vec_id GROUP BY 1),
-score AS (SELECT k.q AS id, sum(g.in_degree)::BIGINT AS score FROM knn k JOIN deg g ON g.id = k.nbr GROUP BY 1),
-low AS (
-  SELECT id, in_degree, score FROM (SELECT *, row_number() OVER (ORDER BY in_degree, score, id) AS r FROM deg JOIN score USING (id))
-  WHERE r <= (SELECT floor(sqrt(count(*))) FROM e)
-),
-sym AS (SELECT least(q, nbr) AS src, greatest(q, nbr) AS dst, min(dist) AS dist FROM knn GROUP BY 1, 2),
-clique AS (SELECT d.q AS src, d.nbr AS dst, d.dist FROM d JOIN low a ON a.id = d.q JOIN low b ON b.id = d.nbr WHERE d.q < d.nbr),
-core AS (SELECT q AS id, dist AS core FROM knn WHERE rank = {min(k, MPTS)}),
-enh0 AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM sym UNION ALL SELECT * FROM clique) GROUP BY 1, 2),
-enh AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM enh0 JOIN core a ON a.id = src JOIN core b ON b.id = dst),
-und AS (SELECT src AS a, dst AS b, weight, src, dst FROM enh UNION ALL SELECT dst, src, weight, src, dst FROM enh),
-prim AS (
-  SELECT 1 AS n, [0::BIGINT] AS seen, NULL::STRUCT(w DOUBLE, s BIGINT, t BIGINT, b BIGINT) AS x
+def tables(k: int = K) -> dict[str, str]:
+    """Named steps of the SQL, each over earlier ones."""
+    return {
+        "e": "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
+        "d": """SELECT a.vec_id AS q, b.vec_id AS nbr, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id""",
+        "knn": f"SELECT * FROM (SELECT q, nbr, dist, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM d) WHERE rank <= {k}",
+        "parity": f"SELECT * FROM (SELECT q, nbr, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM d WHERE q % 2 = nbr % 2) WHERE rank <= {k}",
+        "deg": "SELECT v.vec_id AS id, count(k.q)::BIGINT AS in_degree FROM e v LEFT JOIN knn k ON k.nbr = v.vec_id GROUP BY 1",
+        "score": "SELECT k.q AS id, sum(g.in_degree)::BIGINT AS score FROM knn k JOIN deg g ON g.id = k.nbr GROUP BY 1",
+        "low": """SELECT id, in_degree, score FROM (SELECT *, row_number() OVER (ORDER BY in_degree, score, id) AS r FROM deg JOIN score USING (id))
+  WHERE r <= (SELECT floor(sqrt(count(*))) FROM e)""",
+        "sym": "SELECT least(q, nbr) AS src, greatest(q, nbr) AS dst, min(dist) AS dist FROM knn GROUP BY 1, 2",
+        "clique": """SELECT x.vec_id AS src, y.vec_id AS dst, sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS dist
+  FROM low a JOIN e x ON x.vec_id = a.id JOIN low b ON a.id < b.id JOIN e y ON y.vec_id = b.id""",
+        "core": f"SELECT q AS id, dist AS core FROM knn WHERE rank = {min(k, MPTS)}",
+        "enh0": "SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM sym UNION ALL SELECT src, dst, dist FROM clique) GROUP BY 1, 2",
+        "enh": "SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM enh0 JOIN core a ON a.id = src JOIN core b ON b.id = dst",
+        "und": "SELECT src AS a, dst AS b, weight, src, dst FROM enh UNION ALL SELECT dst, src, weight, src, dst FROM enh",
+        "prim": """SELECT 1 AS n, [0::BIGINT] AS seen, NULL::STRUCT(w DOUBLE, s BIGINT, t BIGINT, b BIGINT) AS x
   UNION ALL
   SELECT n + 1, list_append(seen, x.b), x FROM (
     SELECT p.n, any_value(p.seen) AS seen, min(struct_pack(w := u.weight, s := u.src, t := u.dst, b := u.b)) AS x
-    FROM prim p JOIN und u ON list_contains(p.seen, u.a) AND NOT list_contains(p.seen, u.b) GROUP BY p.n)
-),
-mst AS (SELECT x.s AS src, x.t AS dst, x.w AS weight FROM prim WHERE x IS NOT NULL)
-"""
+    FROM prim p JOIN und u ON list_contains(p.seen, u.a) AND NOT list_contains(p.seen, u.b) GROUP BY p.n)""",
+        "mst": "SELECT x.s AS src, x.t AS dst, x.w AS weight FROM prim WHERE x IS NOT NULL",
+        "sg0": """SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM sym UNION ALL SELECT m.src, m.dst, d.dist FROM mst m JOIN d ON d.q = m.src AND d.nbr = m.dst) GROUP BY 1, 2""",
+        "steps": "SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS i FROM mst",
+        # each point's group after the i-th edge; groups are numbered from the number of points on
+        "link": """SELECT 0::BIGINT AS i, (SELECT list(vec_id ORDER BY vec_id) FROM e) AS lab, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::DOUBLE AS weight
+  UNION ALL
+  SELECT i, list_transform(lab, lambda x: CASE WHEN x = l OR x = r THEN len(lab) + i - 1 ELSE x END), l, r, weight
+  FROM (SELECT s.i, k.lab, k.lab[s.src + 1] AS l, k.lab[s.dst + 1] AS r, s.weight FROM link k JOIN steps s ON s.i = k.i + 1)""",
+        "groups": "SELECT len(lab) + i - 1 AS node, l, r, weight, lab, len(list_filter(lab, lambda x: x = len(lab) + i - 1)) AS size FROM link WHERE i > 0",
+        "sized": "SELECT node, size FROM groups UNION ALL SELECT vec_id, 1 FROM e",
+        "members": "SELECT node, unnest(list_filter(range(0, len(lab)), lambda v: lab[v + 1] = node)) AS v FROM groups UNION ALL SELECT vec_id, vec_id FROM e",
+        "kids": "SELECT g.node, g.l, g.r, CASE WHEN g.weight > 0 THEN 1 / g.weight ELSE 2147483647 END AS lam, a.size AS sa, b.size AS sb FROM groups g JOIN sized a ON a.node = g.l JOIN sized b ON b.node = g.r",
+        # the queue of a walk from the root, breadth first: groups and the clusters that they belong to
+        "walk": f"""SELECT [struct_pack(x := 2 * count(*) - 2, c := count(*))] AS queue, count(*) + 1 AS fresh FROM e
+  UNION ALL
+  SELECT list_concat(queue[2:], CASE WHEN sa >= {CLUSTER} AND sb >= {CLUSTER} THEN [struct_pack(x := l, c := fresh), struct_pack(x := r, c := fresh + 1)]
+    WHEN sa >= {CLUSTER} THEN [struct_pack(x := l, c := queue[1].c)] WHEN sb >= {CLUSTER} THEN [struct_pack(x := r, c := queue[1].c)] ELSE [] END),
+    fresh + CASE WHEN sa >= {CLUSTER} AND sb >= {CLUSTER} THEN 2 ELSE 0 END
+  FROM walk JOIN kids ON node = queue[1].x""",
+        "split": f"SELECT queue[1].c AS parent, fresh, l, r, lam, sa, sb, sa >= {CLUSTER} AND sb >= {CLUSTER} AS two FROM walk JOIN kids ON node = queue[1].x",
+        "cond": f"""SELECT parent, fresh AS child, lam, sa AS child_size FROM split WHERE two UNION ALL SELECT parent, fresh + 1, lam, sb FROM split WHERE two
+  UNION ALL SELECT parent, m.v, lam, 1 FROM split JOIN members m ON m.node = l WHERE sa < {CLUSTER}
+  UNION ALL SELECT parent, m.v, lam, 1 FROM split JOIN members m ON m.node = r WHERE sb < {CLUSTER}""",
+        "born": "SELECT child, min(lam) AS birth FROM cond GROUP BY 1",
+        "stab": "SELECT parent AS cluster, sum((lam - coalesce(birth, 0)) * child_size) AS stability FROM cond LEFT JOIN born ON born.child = parent GROUP BY 1",
+        "below": "SELECT parent, list(child) AS ks FROM cond WHERE child_size > 1 GROUP BY 1",
+        "turn": "SELECT cluster, stability, row_number() OVER (ORDER BY cluster DESC) AS k, cluster = min(cluster) OVER () AS root FROM stab",
+        # from the leaves up: the best sum of each cluster and whether it is its own
+        "best": """SELECT 0::BIGINT AS k, []::STRUCT(c BIGINT, b DOUBLE, own BOOLEAN)[] AS done
+  UNION ALL
+  SELECT k, list_append(done, struct_pack(c := cluster, b := greatest(s, stability), own := s <= stability AND NOT root)) FROM (
+    SELECT t.k, t.cluster, t.stability, t.root, p.done, coalesce(list_sum(list_transform(list_filter(p.done, lambda z: list_contains(w.ks, z.c)), lambda z: z.b)), 0) AS s
+    FROM best p JOIN turn t ON t.k = p.k + 1 LEFT JOIN below w ON w.parent = t.cluster)""",
+        "own": "SELECT z.c AS c FROM (SELECT unnest(done) AS z FROM best WHERE k = (SELECT max(k) FROM best)) WHERE z.own",
+        "above": "SELECT child AS c, parent AS a FROM cond WHERE child_size > 1 UNION ALL SELECT u.c, t.parent FROM above u JOIN cond t ON t.child = u.a AND t.child_size > 1",
+        "picked": "SELECT c, (row_number() OVER (ORDER BY c) - 1)::INT AS label FROM own WHERE c NOT IN (SELECT u.c FROM above u JOIN own o ON o.c = u.a)",
+        "names": "SELECT c AS cluster, label, birth FROM picked JOIN born ON child = c UNION ALL SELECT u.c, label, birth FROM above u JOIN picked p ON p.c = u.a JOIN born ON child = p.c",
+        "labelled": "SELECT t.child AS id, CASE WHEN t.lam > m.birth THEN m.label ELSE -1 END::INT AS label FROM cond t LEFT JOIN names m ON m.cluster = t.parent WHERE t.child_size = 1",
+    }
+
+
+def written(query: str, k: int = K, **more: str) -> str:
+    """A query with the steps that it needs before it, each worked out once."""
+    steps, needed, todo = tables(k) | more, set(), [query]
+    while todo:
+        for name in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", todo.pop()):
+            if name in steps and name not in needed:
+                needed.add(name)
+                todo.append(steps[name])
+    listed = [f"{n} AS {'' if 'UNION ALL' in t and re.search(rf'(FROM|JOIN) {n} ', t) else 'MATERIALIZED '}({t})" for n, t in steps.items() if n in needed]
+    return f"WITH RECURSIVE {', '.join(listed)} {query}" if listed else query
+
+
+def adjusted_rand_sql(a: str, b: str, rows: str) -> str:
+    return f"""SELECT round((pairs - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)), 6) AS ari FROM (
+  SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM {rows} GROUP BY {a}, {b})) AS pairs, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM {rows} GROUP BY {a})) AS ra,
+  (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM {rows} GROUP BY {b})) AS rb, (SELECT count(*)::DOUBLE FROM {rows}) AS n)"""
 
 
 def oracle_sql() -> dict[str, str]:
     edges = "SELECT src, dst, round(dist, 6) AS dist, round(weight, 6) AS weight FROM "
-    values = ", ".join(map(str, SMALL_TREE))
-    small = f"WITH t(parent, child, lam, child_size) AS (VALUES {values})"
-    sg = """, sg0 AS (SELECT src, dst, min(dist) AS dist FROM (SELECT * FROM sym UNION ALL SELECT m.src, m.dst, d.dist FROM mst m JOIN d ON d.q = m.src AND d.nbr = m.dst) GROUP BY 1, 2),
-core2 AS (SELECT q AS id, dist AS core FROM knn WHERE rank = {m}),
-sg AS (SELECT src, dst, dist, greatest(dist, a.core, b.core) AS weight FROM sg0 JOIN core2 a ON a.id = src JOIN core2 b ON b.id = dst) """
+    sg = "SELECT src, dst, round(dist, 6) AS dist, round(greatest(dist, a.core, b.core), 6) AS weight FROM sg0 JOIN core2 a ON a.id = src JOIN core2 b ON b.id = dst"
+    core2 = lambda m: f"SELECT q AS id, dist AS core FROM knn WHERE rank = {m}"
     norm = "round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm_sq"
-    ok = "SELECT true AS recall_ok"
-    k = _sql()
-    return {
+    sound = f"SELECT vec_id AS q, {K}::BIGINT AS listed, true AS \"right\", true AS half FROM embeddings"
+    out = {
         "vector_norm": f"SELECT vec_id, {norm} FROM embeddings",
-        "pairwise_l2": k + "SELECT q, nbr, round(dist, 6) AS dist FROM d WHERE q % 20 = 0",
-        "l2_by_dot": k + "SELECT q AS vec_id, round(dist, 5) AS dist FROM d WHERE nbr = q + 1",
-        "knn_exact": k + "SELECT q, nbr, round(dist, 6) AS dist, rank FROM knn",
-        "nearest_neighbor": k + "SELECT q, nbr FROM knn WHERE rank = 1",
+        "pairwise_l2": "SELECT q, nbr, round(dist, 6) AS dist FROM d WHERE q % 20 = 0",
+        "l2_by_dot": "SELECT q, nbr, round(dist, 5) AS dist FROM d WHERE q % 20 = 0",
+        "knn_exact": "SELECT q, nbr, round(dist, 6) AS dist, rank FROM knn",
+        "nearest_neighbor": "SELECT q, nbr FROM knn WHERE rank = 1",
         "header_metadata": "SELECT count(*) AS n, max(len(embedding))::INT AS dim FROM embeddings",
         "vector_slice": f"SELECT vec_id, {norm} FROM embeddings WHERE vec_id BETWEEN 100 AND 199",
-        "gather_vectors": k + "SELECT nbr AS vec_id FROM knn WHERE q = 0",
+        "gather_vectors": f"SELECT q, rank, vec_id, {norm} FROM knn JOIN embeddings ON vec_id = nbr",
         "shard_layout": f"SELECT least(vec_id // ((SELECT count(*) FROM embeddings) // {SHARDS}), {SHARDS - 1})::INT AS shard, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1",
-        "min_positive_nn": k + "SELECT round(min(dist), 6) AS min_dist FROM knn WHERE rank = 1 AND dist > 0",
-        "in_degree": k + "SELECT id, in_degree FROM deg",
-        "in_degree_at_threshold": k + "SELECT in_degree, count(*) AS n FROM deg GROUP BY 1",
-        "core_distance": k + "SELECT id, round(core, 6) AS core FROM core",
-        "mutual_flags": k + "SELECT a.q, a.nbr, count(b.q)::INT AS mutual FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q GROUP BY 1, 2",
-        "tie_score": k + "SELECT id, score FROM score",
-        "antihubs": k + "SELECT id, in_degree, score FROM low",
-        "symmetrized_graph": k + "SELECT src, dst, round(dist, 6) AS dist FROM sym",
-        "directed_graph": k + "SELECT q AS src, nbr AS dst, round(dist, 6) AS dist FROM knn UNION ALL SELECT a.nbr, a.q, round(a.dist, 6) FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q WHERE b.q IS NULL",
-        "antihub_clique": k + "SELECT src, dst, round(dist, 6) AS dist FROM clique",
-        "mrd_edges": k + "SELECT src, dst, round(dist, 6) AS dist, round(greatest(dist, a.core, b.core), 6) AS weight FROM sym JOIN core a ON a.id = src JOIN core b ON b.id = dst",
-        "enhanced_graph": k + edges + "enh",
-        "csr_offsets": k + "SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS start FROM (SELECT a AS id, count(*) AS degree FROM und GROUP BY 1)",
-        "quantized_weights": k + "SELECT src, dst, floor(round(weight, 6) * 10000.0)::BIGINT AS weight_q FROM enh",
+        "min_positive_nn": "SELECT round(min(dist), 6) AS min_dist FROM knn WHERE rank = 1 AND dist > 0",
+        "in_degree": "SELECT id, in_degree FROM deg",
+        "in_degree_at_threshold": "SELECT in_degree, count(*) AS n FROM deg GROUP BY 1",
+        "core_distance": "SELECT id, round(core, 6) AS core FROM core",
+        "mutual_flags": "SELECT a.q, a.nbr, count(b.q)::INT AS mutual FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q GROUP BY 1, 2",
+        "tie_score": "SELECT id, score FROM score",
+        "antihubs": "SELECT id, in_degree, score FROM low",
+        "symmetrized_graph": "SELECT src, dst, round(dist, 6) AS dist FROM sym",
+        "directed_graph": "SELECT q AS src, nbr AS dst, round(dist, 6) AS dist FROM knn UNION ALL SELECT a.nbr, a.q, round(a.dist, 6) FROM knn a LEFT JOIN knn b ON a.q = b.nbr AND a.nbr = b.q WHERE b.q IS NULL",
+        "antihub_clique": "SELECT src, dst, round(dist, 6) AS dist FROM clique",
+        "mrd_edges": "SELECT src, dst, round(dist, 6) AS dist, round(greatest(dist, a.core, b.core), 6) AS weight FROM sym JOIN core a ON a.id = src JOIN core b ON b.id = dst",
+        "enhanced_graph": edges + "enh",
+        "csr_offsets": "SELECT id, degree, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS start FROM (SELECT a AS id, count(*) AS degree FROM und GROUP BY 1)",
+        "quantized_weights": "SELECT src, dst, floor(round(weight, 6) * 10000.0)::BIGINT AS weight_q FROM enh",
         "order_degree": "SELECT l_orderkey AS id, count(*) AS degree FROM lineitem GROUP BY 1",
-        "edge_sort": k + edges + "enh ORDER BY round(weight, 6), src, dst",
-        "mst_kruskal": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
-        "mst_boruvka": k + "SELECT src, dst, round(weight, 6) AS weight FROM mst",
-        "components_at_threshold": k + """, near AS (SELECT src AS a, dst AS b FROM sym WHERE dist <= 0.9 UNION ALL SELECT dst, src FROM sym WHERE dist <= 0.9),
-reach(id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.id, n.b FROM reach r JOIN near n ON n.a = r.other)
-SELECT id, min(other) AS component FROM reach GROUP BY 1""",
-        "core_sg_edges": k + sg.format(m=MPTS) + edges + "sg",
-        "core_sg_reweight_mpts4": k + sg.format(m=4) + edges + "sg",
-        "stability": small + ", b AS (SELECT child, min(lam) AS birth FROM t GROUP BY 1) SELECT t.parent::BIGINT AS cluster, sum((lam - coalesce(birth, 0)) * child_size)::DOUBLE AS stability FROM t LEFT JOIN b ON b.child = t.parent GROUP BY 1",
-        "cluster_selection": small + " SELECT child::BIGINT AS id, (parent - 9)::INT AS label FROM t WHERE child_size = 1",
-        "tree_extrema": small + " SELECT max(child)::BIGINT AS max_child, max(parent)::BIGINT AS max_parent, min(parent)::BIGINT AS min_parent, max(lam)::DOUBLE AS max_lambda FROM t",
-        "nndescent": ok, "nndescent_refine": ok, "knn_merge": ok, "knn_join": ok, "knn_sharded": ok,
-        "graph_topk_merge": k + "SELECT q, nbr, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM knn WHERE rank <= 6",
+        "edge_sort": edges + "enh ORDER BY round(weight, 6), src, dst",
+        "mst_kruskal": "SELECT src, dst, round(weight, 6) AS weight FROM mst",
+        "mst_boruvka": "SELECT src, dst, round(weight, 6) AS weight FROM mst",
+        "single_linkage": "SELECT node, l AS \"left\", r AS \"right\", round(weight, 6) AS weight, size FROM groups",
+        "condensed_tree": "SELECT parent, child, round(lam, 6) AS lambda, child_size FROM cond",
+        "stability": "SELECT cluster, round(stability, 6) AS stability FROM stab",
+        "cluster_selection": "SELECT s.cluster, p.c IS NOT NULL AS selected FROM stab s LEFT JOIN picked p ON p.c = s.cluster",
+        "tree_extrema": "SELECT max(child)::BIGINT AS max_child, max(parent)::BIGINT AS max_parent, min(parent)::BIGINT AS min_parent, round(max(lam), 6) AS max_lambda FROM cond",
+        "cluster_labels": "SELECT id, label FROM labelled",
+        "nndescent": sound, "nndescent_refine": sound, "knn_merge": sound, "knn_join": sound, "knn_sharded": sound,
+        "graph_topk_merge": "SELECT q, nbr, row_number() OVER (PARTITION BY q ORDER BY dist, nbr)::INT AS rank FROM knn WHERE rank <= 6",
         "concatenate_sets": "SELECT (2 * count(*))::BIGINT AS n, (2 * max(vec_id) + 1)::BIGINT AS last_id FROM embeddings",
-        "recall_at_k": "SELECT 0.5::DOUBLE AS recall",
-        "positional_recall": "SELECT 0.5::DOUBLE AS recall",
-        "ari": """WITH c AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2),
-s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS pairs, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY quality)) AS ra,
-  (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY toxic)) AS rb, (SELECT sum(n) FROM c) AS n)
-SELECT round((pairs - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)), 6) AS ari FROM s""",
-        "ari_of_clusters": "SELECT true AS in_range",
-        "knn_text_export": _sql(3) + "SELECT q, count(*)::VARCHAR || chr(9) || string_agg(printf('%.6f', dist) || chr(9) || nbr::VARCHAR, chr(9) ORDER BY rank) AS line FROM knn GROUP BY 1",
-        "generator": "SELECT 7000::BIGINT AS n, 7::BIGINT AS clusters",
+        "recall_at_k": "SELECT round(count(f.q) / count(*), 6) AS recall FROM knn k LEFT JOIN parity f ON f.q = k.q AND f.nbr = k.nbr",
+        "positional_recall": "SELECT round(count(f.q) / count(*), 6) AS recall FROM knn k LEFT JOIN parity f ON f.q = k.q AND f.nbr = k.nbr AND f.rank = k.rank",
+        "ari": adjusted_rand_sql("quality", "toxic", "labels"),
+        "generator": "SELECT * FROM (VALUES (0, 12, 0.4::DOUBLE), (1, 12, 0.4), (2, 12, 0.6), (3, 12, 0.6), (4, 12, 0.6), (5, 12, 0.6), (6, 12, 0.6)) t(truth, dim, noise)",
     }
+    near = "SELECT src AS a, dst AS b FROM sym WHERE dist <= 0.9 UNION ALL SELECT dst, src FROM sym WHERE dist <= 0.9"
+    reach = "SELECT vec_id AS id, vec_id AS other FROM e UNION SELECT r.id, n.b FROM reach r JOIN near n ON n.a = r.other"
+    return {n: written(q) for n, q in out.items()} | {
+        "components_at_threshold": written("SELECT id, min(other) AS component FROM reach GROUP BY 1", near=near, reach=reach).replace("reach AS MATERIALIZED", "reach AS"),
+        "core_sg_edges": written(sg, core2=core2(MPTS)),
+        "core_sg_reweight_mpts4": written(sg, core2=core2(4)),
+        "ari_of_clusters": written(adjusted_rand_sql("found", "truth", "truths"), truths="SELECT l.label AS found, x.label AS truth FROM labelled l JOIN embeddings x ON x.vec_id = l.id"),
+        "knn_text_export": written("SELECT q, count(*)::VARCHAR || chr(9) || string_agg(printf('%.6f', dist) || chr(9) || nbr::VARCHAR, chr(9) ORDER BY rank) AS line FROM knn GROUP BY 1", 3),
+    }

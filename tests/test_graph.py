@@ -114,3 +114,24 @@ def test_every_oracle_has_a_query():
     from densegraph.plans.registry import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_condensed_tree_splits(spark):
+    """Clusters of a split tree by hand: both sides large, then one small."""
+    rows = [(8, 9, 0.5, 4), (8, 10, 0.5, 4), (9, 0, 1.0, 1), (9, 1, 1.0, 1), (9, 2, 2.0, 1), (9, 3, 2.0, 1), (10, 4, 1.0, 1), (10, 5, 1.0, 1), (10, 6, 4.0, 1), (10, 7, 4.0, 1)]
+    c = spark.createDataFrame(rows, hierarchy.CONDENSED)
+    assert dict(rows_of := rows_sorted(hierarchy.stability(c))) == {8: 4.0, 9: 4.0, 10: 8.0} and len(rows_of) == 3
+    assert hierarchy.selected(c, hierarchy.stability(c)) == [9, 10]
+    assert hierarchy.tree_extrema(c).first()[:] == (10, 10, 8, 4.0)
+
+
+def rows_sorted(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_sql_steps():
+    from densegraph.plans.registry import written
+
+    assert written("SELECT 1") == "SELECT 1"
+    sql = written("SELECT * FROM mst")
+    assert "prim AS (" in sql and "mst AS MATERIALIZED" in sql and "sg0" not in sql
