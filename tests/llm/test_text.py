@@ -319,6 +319,24 @@ def test_passages_left_by_bounds():
             assert got.tolist() == want
 
 
+def test_co_training_helps_each_view(spark):
+    rng = np.random.default_rng(4)
+    docs = []
+    for i in range(2400):
+        y = i % 2
+        words = [f"n{v}" for v in rng.integers(0, 50, 30)] + [f"{'gb'[y if rng.random() < 0.9 else 1 - y]}{v}" for v in rng.integers(0, 150, 4)]
+        docs.append((i, " ".join(rng.permutation(words)), "en", f"{'uv'[y if rng.random() < 0.97 else 1 - y]}{rng.integers(0, 12)}", 100))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+
+    def right(rounds):
+        rows = cotrain.quality(docs, labels, rounds=rounds).where("doc_id >= 100").collect()
+        return [np.mean([(r[c] >= 0.5) == r["doc_id"] % 2 for r in rows]) for c in ("text_score", "meta_score", "score")]
+
+    alone, together = right(0), right(3)
+    assert together[0] > alone[0] + 0.05 and together[1] >= alone[1] and together[2] > alone[2] and together[2] > 0.95
+
+
 def test_toxicity_catches_unseen_spellings():
     rng = np.random.default_rng(0)
     clean = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an", "re"], 3)) for _ in range(60))
