@@ -5,12 +5,13 @@ A graph is a table (q, nbr, dist, rank): rank from 1 by (dist, nbr), the point i
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densegraph.functions.vectors import l2, shard_of
@@ -82,12 +83,12 @@ def with_distances(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.drop("dist").join(x, "q").join(y, "nbr").withColumn("dist", l2("_x", "_y")).drop("_x", "_y")
 
 
-def random_knn(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """A first graph: each point with k others, picked by hash among points that share a random bucket."""
+def random_knn(vectors: DataFrame, k: int, seed: int = 0, *, same_side: bool = False) -> DataFrame:
+    """A first graph: each point with k others, picked by hash among points that share a random bucket (and ``side``, if asked for)."""
     n = vectors.count()
     size = max(2 * k, 32)
     buckets = max(1, n // size)
-    deal = lambda r: F.pmod(F.xxhash64("vec_id", F.lit(seed + r)), F.lit(buckets))
+    deal = lambda r: F.struct(F.col("side") if same_side else F.lit(0), F.pmod(F.xxhash64("vec_id", F.lit(seed + r)), F.lit(buckets)))
     each = []
     for r in range(2):
         a = vectors.select(F.col("vec_id").alias("q"), deal(r).alias("b"))
@@ -107,28 +108,63 @@ def sampled(graph: DataFrame, most: int, seed: int) -> DataFrame:
     return forward.union(reverse).groupBy("pivot", "id").agg(F.min("is_new").alias("is_new"))  # what is also old counts as old
 
 
-def local_join(sample: DataFrame, crossing: Column | None = None) -> DataFrame:
-    """Pairs (q, nbr) that meet in a list, at least one of them new; ``crossing`` restricts them by columns a and b."""
-    a = sample.select("pivot", F.col("id").alias("a"), F.col("is_new").alias("na"))
-    b = sample.select("pivot", F.col("id").alias("b"), F.col("is_new").alias("nb"))
-    pairs = a.join(b, "pivot").where((F.col("a") < F.col("b")) & (F.col("na") | F.col("nb")))
-    pairs = pairs.where(crossing) if crossing is not None else pairs
-    return pairs.select("a", "b").distinct()
+def _best_pairs(ids: np.ndarray, new: np.ndarray, side: np.ndarray, x: np.ndarray, most: int, sides: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point of one list its ``most`` nearest others, at least one of the two new: q, nbr and dist."""
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    met = (new[:, None] | new[None]) & (ids[:, None] != ids[None])
+    if sides:
+        met &= (side[:, None] != side[None]) == (sides == "cross")
+    dist[~met] = np.inf
+    order = np.argsort(dist, 1, kind="stable")[:, :most]
+    rows = np.repeat(np.arange(len(ids)), order.shape[1])
+    cols = order.ravel()
+    real = np.isfinite(dist[rows, cols])
+    return ids[rows[real]], ids[cols[real]], dist[rows[real], cols[real]]
 
 
-def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6, sample: int = 16, seed: int = 0, least_new: float = 0.001, crossing: Column | None = None, least_list: int = 32) -> DataFrame:
+def local_join(sample: DataFrame, vectors: DataFrame, most: int = 16, *, sides: str | None = None) -> DataFrame:
+    """(q, nbr, dist) of pairs that meet in a pivot's list, at least one of them new, for each point the ``most`` nearest of a list.
+
+    ``sides`` "cross" restricts pairs to points of different ``side``, "same" to those of one. A list goes to its pivot
+    with its vectors once, and its pairs never leave the task but for the best.
+    """
+    given = vectors.select(F.col("vec_id").alias("id"), (F.col("side") if sides else F.lit(0)).cast("int").alias("side"), "embedding")
+    lists = sample.join(given, "id").select("pivot", "id", "is_new", "side", "embedding").repartition("pivot").sortWithinPartitions("pivot", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            pivot, ids, new, side = (table[c].to_numpy() for c in ("pivot", "id", "is_new", "side"))
+            lists = table["embedding"].combine_chunks()
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            cuts = np.flatnonzero(np.diff(pivot)) + 1
+            found = [_best_pairs(*part, most, sides) for part in zip(*(np.split(v, cuts) for v in (ids, new, side, x)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[j] for f in found])) for j in range(3)], ["q", "nbr", "dist"])
+
+        for b in batches:
+            table = pa.Table.from_batches([*rest, b])
+            pivot = table["pivot"].to_numpy()
+            last = int(np.searchsorted(pivot, pivot[-1])) if len(pivot) else 0  # the last pivot's list may go on
+            if last:
+                yield done(table.slice(0, last))
+            rest = table.slice(last).to_batches()
+        if rest:
+            yield done(pa.Table.from_batches(rest))
+
+    return lists.mapInArrow(run, "q long, nbr long, dist double")
+
+
+def refine(vectors: DataFrame, graph: DataFrame, k: int, *, iterations: int = 6, sample: int = 16, seed: int = 0, least_new: float = 0.001, sides: str | None = None, least_list: int = 32) -> DataFrame:
     """Neighbour descent from a given graph; stops when fewer than ``least_new`` of the entries are new.
 
-    Lists of ``least_list`` entries are kept until the end, as short ones get stuck early.
+    Lists of ``least_list`` entries are kept until the end, as short ones get stuck early. ``sides``, see local_join(), needs a column ``side``.
     """
     vectors = settled(vectors.repartition("vec_id"))
     state = settled(graph.select("q", "nbr", "dist", F.lit(True).alias("is_new")))
     for i in range(iterations):
-        pairs = local_join(sampled(state, sample, seed + i), crossing).select(F.col("a").alias("q"), F.col("b").alias("nbr"))
-        found = settled(with_distances(pairs, vectors).select("q", "nbr", "dist"))
-        both = found.union(found.select("nbr", "q", "dist")).withColumn("is_new", F.lit(True))
-        old = state.withColumn("is_new", F.lit(False))
-        merged = old.unionByName(both).groupBy("q", "nbr").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
+        found = local_join(sampled(state, sample, seed + i), vectors, sides=sides).withColumn("is_new", F.lit(True))
+        merged = state.withColumn("is_new", F.lit(False)).unionByName(found).groupBy("q", "nbr").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
         state = settled(ranked(merged, max(k, least_list), "is_new").drop("rank"))
         r = state.agg(F.count_if("is_new").alias("new"), F.count("*").alias("n")).first()
         if r["new"] <= least_new * r["n"]:
@@ -150,13 +186,16 @@ def merge_topk(graphs: Iterable[DataFrame], k: int) -> DataFrame:
 def merge_knn(a: DataFrame, a_graph: DataFrame, b: DataFrame, b_graph: DataFrame | None, k: int, *, iterations: int = 11, sample: int = 12, seed: int = 0) -> DataFrame:
     """The graph over two vector sets from the graphs of each, or from one graph and raw vectors (``b_graph`` None).
 
-    Each list keeps its first half; the rest is filled at random from the other set before the descent.
+    Each list keeps its first half; the rest is filled at random before the descent. With both graphs given only pairs across
+    the sets are tried; the lists within a set come from its graph.
     """
-    every = a.select("vec_id", "embedding").unionByName(b.select("vec_id", "embedding"))
-    halves = [g.where(F.col("rank") <= max(1, k // 2)).select("q", "nbr", "dist") for g in (a_graph, b_graph) if g is not None]
-    start = merge_topk([*halves, random_knn(every, k, seed + 1)], k)
-    out = refine(every, start, k, iterations=iterations, sample=sample, seed=seed)
-    return merge_topk([out, *(g for g in (a_graph, b_graph) if g is not None)], k)
+    every = a.select("vec_id", "embedding", F.lit(0).alias("side")).unionByName(b.select("vec_id", "embedding", F.lit(1).alias("side")))
+    graphs = [g for g in (a_graph, b_graph) if g is not None]
+    halves = [g.where(F.col("rank") <= max(1, k // 2)).select("q", "nbr", "dist") for g in graphs]
+    width = max(k, 32)
+    start = merge_topk([*halves, random_knn(every, width, seed + 1)], width)
+    out = refine(every, start, k, iterations=iterations, sample=sample, seed=seed, sides="cross" if b_graph is not None else None)
+    return merge_topk([out, *graphs], k)
 
 
 def join_knn(a: DataFrame, a_graph: DataFrame, b: DataFrame, k: int, **options) -> DataFrame:
@@ -170,10 +209,11 @@ def concatenated(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("vec_id", "embedding").unionByName(b.crossJoin(F.broadcast(past)).select((F.col("vec_id") + F.col("past")).alias("vec_id"), "embedding"))  # one row
 
 
-def sharded_knn(vectors: DataFrame, k: int, shards: int, **options) -> DataFrame:
-    """A graph built in shards of ids and joined by descent over all: exact within shards, refined across."""
-    n = vectors.count()
-    dealt = vectors.withColumn("shard", shard_of("vec_id", n, shards))
-    parts = [exact_knn(dealt.where(F.col("shard") == s).drop("shard"), k) for s in range(shards)]
-    start = merge_topk([*parts, random_knn(vectors, k, 1)], k)
-    return refine(vectors, start, k, **options)
+def sharded_knn(vectors: DataFrame, k: int, shards: int, *, iterations: int = 8, sample: int = 16, seed: int = 0) -> DataFrame:
+    """A graph built by descent within shards of ids, all shards at once, and then joined by descent across them."""
+    dealt = settled(vectors.select("vec_id", "embedding", shard_of("vec_id", vectors.count(), shards).alias("side")))
+    options = {"iterations": iterations, "sample": sample, "seed": seed}
+    width = max(k, 32)
+    own = settled(refine(dealt, random_knn(dealt, width, seed, same_side=True), width, sides="same", **options))
+    start = merge_topk([own.where(F.col("rank") <= width // 2), random_knn(dealt, width, seed + 1)], width)
+    return merge_topk([refine(dealt, start, k, sides="cross", **options), own], k)

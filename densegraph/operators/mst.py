@@ -45,12 +45,18 @@ def forest(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition's forest, batch by batch: what is dropped closes a cycle of lighter edges, so it is in no tree."""
-    kept = None
+    """A partition's forest: what is dropped closes a cycle of lighter edges, so it is in no tree.
+
+    Edges are gathered until they are as many as the forest so far, so its repeated building costs about as much as building it once.
+    """
+    kept, waiting, rows = None, [], 0
     for f in frames:
-        kept = forest(f if kept is None else pd.concat([kept, f]))
-    if kept is not None:
-        yield kept
+        waiting.append(f)
+        rows += len(f)
+        if rows >= max(100_000, 0 if kept is None else len(kept)):
+            kept, waiting, rows = forest(pd.concat([kept, *waiting] if kept is not None else waiting)), [], 0
+    if waiting or kept is not None:
+        yield forest(pd.concat([kept, *waiting] if kept is not None else waiting))
 
 
 def simple(edges: DataFrame) -> DataFrame:
