@@ -32,6 +32,18 @@ def antihubs(knn: DataFrame, m: int | None = None) -> DataFrame:
     return degree.join(tie_score(knn, degree), "id").orderBy("in_degree", "score", "id").limit(m)
 
 
+def largest_list(knn: DataFrame) -> DataFrame:
+    """(size): of the longest list of a graph; 0 for none."""
+    return knn.groupBy("q").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("size"))
+
+
+def boundary_ties(degree: DataFrame, m: int) -> DataFrame:
+    """(id, in_degree) of the points whose in-degree is that of the m-th lowest."""
+    w = Window.orderBy("in_degree")
+    at = degree.groupBy("in_degree").count().withColumn("upto", F.sum("count").over(w)).where(F.col("upto") >= m).agg(F.min("in_degree").alias("in_degree"))  # a row for each in-degree
+    return degree.join(F.broadcast(at), "in_degree").select("id", "in_degree")
+
+
 def core_distance(knn: DataFrame, mpts: int, *, include_self: bool = False) -> DataFrame:
     """(id, core): the distance of the mpts-th neighbour (the point itself first if ``include_self``); raises if a list is shorter."""
     rank = mpts - 1 if include_self else mpts

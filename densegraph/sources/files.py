@@ -1,14 +1,18 @@
 """Readers and writers of vector and graph files, and a generator of clustered vectors.
 
-Binary files are split by row ranges: a task reads its range only.
+read_fvecs(), read_ivecs(), read_kgraph() and read_distances() read any path that Spark can; each file is loaded whole by one task, so it must fit
+there (2 GB at most). Files on a file system that is mounted on all machines under one path have the ``*_slice`` readers and the
+writers instead: every task reads or writes its own row ranges at their places in the file, whatever the file's size.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +99,114 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "place long, dist double")
 
 
+#: Rows that a task reads or writes at once.
+BLOCK_ROWS = 65536
+
+
+def _row(kind: str, k: int) -> np.dtype:
+    item = {"fvecs": np.dtype(np.float32), "ivecs": np.dtype(np.int32), "kgraph": np.dtype([("dist", np.float32), ("nbr", np.int32)])}[kind]
+    return np.dtype([("k", np.int32), ("x", item, (k,))])
+
+
+def rows_in(path: str, kind: str) -> tuple[int, int]:
+    """Rows and row length of a mounted fvecs, ivecs or kgraph file, from its size and first number; none if it is empty."""
+    with open(path, "rb") as f:
+        head = f.read(4)
+    if len(head) < 4:
+        return 0, 0
+    k = int(np.frombuffer(head, np.int32)[0])
+    return os.path.getsize(path) // _row(kind, k).itemsize, k
+
+
+def _slice(spark: SparkSession, path: str, kind: str, begin: int, end: int | None, schema: str, make) -> DataFrame:
+    n, k = rows_in(path, kind)
+    end, row = n if end is None else min(n, end), _row(kind, k)
+    blocks = max(0, -(-(end - begin) // BLOCK_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    lo = begin + i * BLOCK_ROWS
+                    size = min(BLOCK_ROWS, end - lo)
+                    yield make(lo, np.frombuffer(os.pread(f.fileno(), size * row.itemsize, lo * row.itemsize), row))
+
+    return spark.range(0, blocks, 1, max(1, min(blocks, 4096))).mapInArrow(run, schema)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def read_fvecs_slice(spark: SparkSession, path: str, begin: int = 0, end: int | None = None) -> DataFrame:
+    """(vec_id, embedding) of the rows from ``begin`` to before ``end`` of a mounted file; ids are places in the file."""
+    return _slice(spark, path, "fvecs", begin, end, "vec_id long, embedding array<float>", lambda lo, r: pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(r))), _lists(r["x"])], ["vec_id", "embedding"]))
+
+
+def read_kgraph_slice(spark: SparkSession, path: str, begin: int = 0, end: int | None = None) -> DataFrame:
+    """(q, nbr, dist, rank) of the lists from ``begin`` to before ``end`` of a mounted file."""
+
+    def make(lo: int, r: np.ndarray) -> pa.RecordBatch:
+        k = r["x"].shape[1]
+        columns = [np.repeat(np.arange(lo, lo + len(r)), k), r["x"]["nbr"].ravel().astype(np.int64), r["x"]["dist"].ravel().astype(np.float64), np.tile(np.arange(1, k + 1, dtype=np.int32), len(r))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "nbr", "dist", "rank"])
+
+    return _slice(spark, path, "kgraph", begin, end, "q long, nbr long, dist double, rank int", make)
+
+
+def _write(rows: DataFrame, path: str, item: np.dtype, lists: list[str], place: str, first: int) -> int:
+    """Rows of lists written at their places, ``place`` + ``first`` rows from the beginning; the number of rows written."""
+    k = rows.agg(F.max(F.size(lists[0])), F.min(F.size(lists[0]))).first()
+    if k[0] is None:
+        return 0
+    if k[0] != k[1]:
+        raise ValueError(f"rows of {k[1]} to {k[0]} entries have no common length")
+    row = np.dtype([("k", np.int32), ("x", item, (k[0],))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fd = os.open(path, os.O_CREAT | os.O_WRONLY, 0o644)
+        n = 0
+        for b in batches:
+            out = np.zeros(b.num_rows, row)
+            out["k"] = k[0]
+            values = [b.column(1 + j).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for j in range(len(lists))]
+            for name, v in zip(item.names or [None], values, strict=True):
+                (out["x"][name] if name else out["x"])[...] = v
+            at = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(at) != 1) + 1
+            for ids, part in zip(np.split(at, cuts), np.split(out, cuts), strict=True):
+                if len(ids):
+                    os.pwrite(fd, part.tobytes(), (first + int(ids[0])) * row.itemsize)
+            n += b.num_rows
+        os.close(fd)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    ordered = rows.select(F.col(place).cast("long"), *lists).repartitionByRange(F.col(place)).sortWithinPartitions(place)
+    return ordered.mapInArrow(run, "n long").agg(F.sum("n")).first()[0]  # what a task that is run again writes is the same
+
+
+def write_fvecs(vectors: DataFrame, path: str, *, first: int = 0) -> int:
+    """Vectors as rows of a mounted fvecs file, that of id 0 at row ``first``; what else the file holds stays."""
+    return _write(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), path, np.dtype(np.float32), ["embedding"], "vec_id", first)
+
+
+def write_kgraph(knn: DataFrame, path: str, *, first: int = 0) -> int:
+    """A graph's lists, all of one length, as rows of a mounted kgraph file."""
+    lists = knn.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("dist").cast("float").alias("dist"), F.col("nbr").cast("int").alias("nbr")))).alias("x"))
+    return _write(lists.select("q", F.col("x.dist").alias("dist"), F.col("x.nbr").alias("nbr")), path, np.dtype([("dist", np.float32), ("nbr", np.int32)]), ["dist", "nbr"], "q", first)
+
+
+def write_mutual(knn: DataFrame, flags: DataFrame, path: str) -> int:
+    """Flags (q, nbr, mutual) in the order of the lists as rows of a mounted ivecs file."""
+    lists = knn.join(flags, ["q", "nbr"]).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("mutual").cast("int").alias("mutual")))).alias("x"))
+    return _write(lists.select("q", F.col("x.mutual").alias("mutual")), path, np.dtype(np.int32), ["mutual"], "q", 0)
+
+
+def prepare(spark: SparkSession, text_path: str, path: str) -> int:
+    """A text file of vectors as a mounted fvecs file."""
+    return write_fvecs(read_text_vectors(spark, text_path), path)
+
+
 def graph_text(knn: DataFrame) -> DataFrame:
     """(q, line): each list as ``k, then distance and id of each neighbour``, tab-separated, distances to 6 decimals."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "dist", "nbr"))), lambda x: F.concat_ws("\t", F.format_string("%.6f", x["dist"]), x["nbr"].cast("string")))

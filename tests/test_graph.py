@@ -3,6 +3,7 @@ import pytest
 
 from densegraph.functions import vectors as V
 from densegraph.operators import evaluate, graph, hierarchy, knn, mst
+from densegraph.plans import clustering
 from densegraph.sources import files
 
 
@@ -102,6 +103,43 @@ def test_files(spark, tmp_path):
     assert [r[1] for r in rows(files.read_text_vectors(spark, str(tmp_path / "t/part*")))] == x.tolist()
 
 
+def test_files_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK_ROWS", 3)
+    x = np.random.default_rng(0).normal(size=(10, 4)).astype(np.float32)
+    path, v = str(tmp_path / "v.fvecs"), points(spark, x)
+    assert files.write_fvecs(v.repartition(3), path) == 10 and open(path, "rb").read() == files.fvecs_bytes(x)
+    assert [r[1] for r in rows(files.read_fvecs_slice(spark, path, 2, 9))] == x[2:9].tolist()
+    assert [r[0] for r in rows(files.read_fvecs_slice(spark, path))] == list(range(10)) and files.rows_in(path, "fvecs") == (10, 4)
+    assert files.write_fvecs(v, path, first=10) == 10 and open(path, "rb").read() == files.fvecs_bytes(x) * 2
+    g = knn.exact_knn(v, 3)
+    assert files.write_kgraph(g, str(tmp_path / "g")) == 10
+    got = rows(files.read_kgraph_slice(spark, str(tmp_path / "g"), 4, 6), "q", "nbr", "rank")
+    assert got == [r for r in rows(g, "q", "nbr", "rank") if r[0] in (4, 5)]
+    flags = graph.mutual_flags(g)
+    assert files.write_mutual(g, flags, str(tmp_path / "m")) == 10
+    want = {(r["q"], r["rank"]): r["mutual"] for r in g.join(flags, ["q", "nbr"]).collect()}
+    assert {(r["vec_id"], i + 1): f for r in files.read_ivecs(spark, str(tmp_path / "m")).collect() for i, f in enumerate(r["ids"])} == want
+    files.write_text_vectors(v, str(tmp_path / "t"))
+    assert files.prepare(spark, str(tmp_path / "t/part*"), str(tmp_path / "p")) == 10 and rows(files.read_fvecs_slice(spark, str(tmp_path / "p"), 9)) == [(9, x[9].tolist())]
+    with pytest.raises(ValueError):
+        files.write_fvecs(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>"), path)
+    assert graph.largest_list(g).first()[0] == 3
+    degree = spark.createDataFrame([(0, 1), (1, 2), (2, 2), (3, 5)], "id long, in_degree long")
+    assert rows(graph.boundary_ties(degree, 2)) == [(1, 2), (2, 2)] and rows(graph.boundary_ties(degree, 4)) == [(3, 5)]
+
+
+def test_weights_lines_and_runs(spark):
+    lines = spark.createDataFrame([("2\t0.5\t1\t0.7\t3",)], "line string")
+    assert files.without_marks(lines).first()[0] == "2\t1\t0.7"
+    runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "config string, seconds double")
+    assert rows(evaluate.averaged(runs, ["config"])) == [("a", 2.0, 2), ("b", 5.0, 1)]
+    g = spark.createDataFrame([(0, 1, 0.004, 1), (1, 0, 0.004, 1)], knn.KNN)
+    digits = graph.weight_digits(g)
+    assert digits == 5 and graph.quantised_graph(spark.createDataFrame([(0, 1, 0.004)], mst.EDGE), digits).first()["weight_q"] == 400
+    assert spark.range(1).select(V.dequantised(V.F.lit(400), digits)).first()[0] == pytest.approx(0.004)
+    assert V.shards_for_memory(10**9, 24.0, 3) == 3 and V.shards_for_memory(10**9, 6.0, 3) == 9
+
+
 def test_sql_functions_and_validation(spark):
     V.register(spark)
     assert spark.sql("SELECT l2(array(0D, 3D), array(4D, 0D)), l2_sq(array(1D), array(3D))").first()[:] == (5.0, 4.0)
@@ -129,6 +167,16 @@ def rows_sorted(df):
     return sorted(map(tuple, df.collect()))
 
 
+def test_vectors_to_labels(spark):
+    v = files.generated(spark, 350).cache()
+    out = clustering.cluster(v, k=40, mpts=8, exact=True, min_cluster_size=16)
+    joined = out.labels.join(v.select(V.F.col("vec_id").alias("id"), "truth"), "id")
+    assert out.labels.count() == 350 and evaluate.adjusted_rand(joined.where("label >= 0"), "label", "truth").first()[0] > 0.9
+    offsets = graph.csr_offsets(out.core_sg).orderBy("id").collect()
+    assert offsets[0]["start"] == 0 and sum(r["degree"] for r in offsets) == 2 * out.core_sg.count()
+    assert rows(clustering.reweighted_labels(out, 8, min_cluster_size=16)) == rows(out.labels)
+
+
 def test_sql_steps():
     from densegraph.plans.registry import written
 
