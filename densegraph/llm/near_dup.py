@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from densegraph.llm import common
 from densegraph.llm.common import HashCache, chosen, mix, multipliers, save, window_hashes
 
 #: A pair at similarity 0.8 shares none of 36 bands of 5 samples with a chance of 6e-7.
@@ -165,6 +166,12 @@ def of_one_id(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return at.join(at.groupBy("doc_id").agg(F.min("node").alias("hub")), "doc_id").where("hub < node").select("hub", "node").distinct()
 
 
+def looked_up(rows: DataFrame, bands: DataFrame, how: str) -> DataFrame:
+    """Rows joined to a table of one row a band, which is broadcast up to a bound, so that rows of a frequent band stay where they are."""
+    bands = save(bands)
+    return rows.join(F.broadcast(bands) if bands.count() <= common.BROADCAST_IDS else bands, "band", how)
+
+
 def cell(a: Column, b: Column) -> Column:
     """The number of an unordered pair of blocks."""
     return F.greatest(a, b) * (F.greatest(a, b) + 1) / 2 + F.least(a, b)
@@ -175,9 +182,9 @@ def in_cells(rows: DataFrame) -> DataFrame:
 
     Every pair of rows of a band meets in the one cell of their blocks, so a band that many rows share is work for many tasks.
     """
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    each = rows.join(sizes, "band").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = looked_up(rows, sizes, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("cell", cell(F.col("block"), F.col("with"))).drop("blocks", "with")
 
 
@@ -205,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     def still_open(rest: DataFrame, named: DataFrame) -> DataFrame:
         at = rest.join(named, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        return save(at.join(several, "band", "left_semi"))
+        return save(looked_up(at, several, "left_semi"))
 
     # Each bucket's least node is its first hub. A bucket of one class or one component is settled for good.
     members = classes.select("node", F.explode("bands").alias("band"))
@@ -225,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     # Other hubs, of each bucket's own choice, for the buckets that still hold several components.
     for rank in (F.xxhash64("node", "band"), F.xxhash64("band", "node")):
         hubs = rest.groupBy("band").agg(F.max_by("node", rank).alias("hub"), F.max_by("component", rank).alias("of"))
-        stars = rest.join(hubs, "band").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        stars = looked_up(rest, hubs, "inner").where("component <> of").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
         new = save(candidates(stars).join(pairs, ["hub", "node"], "left_anti"))
         found = save(confirmed(new, near, width, percent))
         pairs, links = pairs.unionByName(new), links.unionByName(found)
