@@ -2,7 +2,6 @@
 
 import re
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -371,21 +370,3 @@ def test_sql_forms(spark):
         got = queries.queries()[name](spark, SMALL)
         cols = got.columns
         assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()), name
-
-
-def test_pipeline(spark):
-    pytest.importorskip("corpus_pipeline")
-    import corpus_pipeline as p
-
-    docs = small(spark)
-    ids = lambda df: {r[0] for r in df.select("doc_id").collect()}
-    want = ids(quality_rules.quality_rules(docs).where("kept"))
-    left = docs.where(F.col("doc_id").isin(sorted(want)))
-    want -= ids(near_dup.near_duplicates(left).where("not kept"))
-    want -= {r[0] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
-    out = p.run(spark, SMALL).collect()
-    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
-    assert {r["doc_id"] for r in out} == want
-    assert all(r["ids"] == lib.encode(clean[r["doc_id"]]) and r["round_trip"] for r in out)
-    assert len(p.STAGES) == 5 and Path(p.__file__).name == "corpus_pipeline.py"
