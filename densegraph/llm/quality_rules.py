@@ -50,7 +50,11 @@ COUNTED = r"[^#*$%&|<>.!?A-ZÄÖÜÉÈÀÇÊÑÓÍ]+"
 
 
 def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The input with structs ``_dg_w`` and ``_dg_c`` of the figures that the rules use, and ``_dg_failed``."""
+    """The input with structs ``_dg_w``, ``_dg_l`` and ``_dg_c`` of the figures that the rules use, and ``_dg_failed``.
+
+    A null or empty text has no words, lines or letters and fails; rows with null ids, repeated rows and all other columns stay; an
+    empty table gives no rows. Input columns of these four names are replaced.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     count = lambda x, letters: F.length(F.regexp_replace(x, f"[^{letters}]+", "")).cast("long")

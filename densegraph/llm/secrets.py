@@ -17,7 +17,6 @@ characters on, digits only or letters of both cases from 20, letters of one case
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densegraph.llm.common import HashCache, chosen, save, shared_folder, window_hashes
+from densegraph.llm.common import HashCache, chosen, save, window_hashes
 
 #: Windows, and documents, after which a chunk is closed; windows of a range of the index from which it gets more ranges.
 CHUNK_WINDOWS, CHUNK_DOCS, PART_WINDOWS = 4_000_000, 60_000, 8_000_000
