@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densegraph.functions.vectors import l2, quantised
+from densegraph.plans.tables import settled
+
+#: The most vectors that are broadcast, 100 MB of 128 doubles each.
+BROADCAST_VECTORS = 100_000
 
 
 def in_degree(knn: DataFrame) -> DataFrame:
@@ -73,10 +77,14 @@ def directed(knn: DataFrame) -> DataFrame:
 
 
 def clique(ids: DataFrame, vectors: DataFrame) -> DataFrame:
-    """All pairs (src, dst, dist) of the given points, which are about as many as the square root of all."""
-    v = vectors.join(ids.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-    a, b = v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", l2("x", "y").alias("dist"))
+    """All pairs (src, dst, dist) of the given points, which are about as many as the square root of all.
+
+    They are written first and counted; one side is broadcast up to BROADCAST_VECTORS, the other spread over all tasks.
+    """
+    v = settled(vectors.join(ids.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"))
+    a = v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")).repartition("src")
+    b = v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y"))
+    return a.join(F.broadcast(b) if v.count() <= BROADCAST_VECTORS else b, F.col("src") < F.col("dst")).select("src", "dst", l2("x", "y").alias("dist"))
 
 
 def mutual_reachability(edges: DataFrame, core: DataFrame) -> DataFrame:
