@@ -33,6 +33,18 @@ def test_blocks_do_not_change_the_result(spark):
     assert rows(knn.exact_knn(v, 7), "q", "nbr", "rank") == want
 
 
+def test_pairs_by_dot(spark):
+    """Copies, far vectors with near ones (the product alone loses their digits), a null vector, any blocks."""
+    x = np.random.default_rng(3).normal(size=(40, 6)) + 1e6
+    v = points(spark, [*x, x[0], x[1] + 1e-4]).union(spark.createDataFrame([(42, None)], "vec_id long, embedding array<double>"))
+    want = {(r["q"], r["nbr"]): r["dist"] for r in knn.pairwise(v, v).collect()}
+    for block in (1024, 7):
+        got = rows(knn.pairwise_by_dot(v.where("vec_id < 41"), v, block=block), "q", "nbr")
+        assert got == sorted(p for p in want if p[0] < 41)
+        dist = {(r["q"], r["nbr"]): r["dist"] for r in knn.pairwise_by_dot(v, v, block=block).collect()}
+        assert dist.keys() == want.keys() and all((d is None) == (want[p] is None) and (d is None or abs(d - want[p]) < 1e-6) for p, d in dist.items())
+
+
 def test_fewer_points_than_neighbours_and_duplicates(spark):
     assert len(rows(knn.exact_knn(points(spark, [0, 0, 5]), 8))) == 6
     tree = mst.kruskal(graph.mutual_reachability(graph.symmetrised(g := knn.exact_knn(points(spark, [0, 0, 0]), 1)), graph.core_distance(g, 1)).select("src", "dst", "weight"))
