@@ -100,6 +100,14 @@ def test_descent_recall(spark):
     assert evaluate.recall_at_k(knn.nndescent(v, 8, iterations=6), knn.exact_knn(v, 8), 8).first()[0] > 0.9
 
 
+def test_descent_widens_short_lists(spark):
+    """Vectors without clusters: lists of 8 get stuck, so they grow until the points asked have their neighbours."""
+    v = points(spark, np.random.default_rng(5).normal(size=(400, 16))).cache()
+    truth = knn.exact_knn(v, 8).cache()
+    found = knn.refine(v, knn.random_knn(v, 8), 8, sample=4, least_list=8, iterations=8)
+    assert evaluate.recall_at_k(found, truth, 8).first()[0] > 0.95
+
+
 def test_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(x))
