@@ -108,6 +108,31 @@ def test_descent_widens_short_lists(spark):
     assert evaluate.recall_at_k(found, truth, 8).first()[0] > 0.95
 
 
+def test_lists_are_completed(spark):
+    """Lists of far points, too short ones, none at all and many copies; any blocks."""
+    x = np.random.default_rng(7).normal(size=(60, 5))
+    v = points(spark, [*x, *[x[0]] * 30]).cache()
+    want = rows(knn.exact_knn(v, 6))
+    far = knn.pairwise(v, v).withColumn("dist", -V.F.col("dist"))
+    poor = knn.ranked(far, 9).withColumn("dist", -V.F.col("dist")).where("q <> 3 and (q <> 4 or rank < 3)")
+    for graph_, block in ((poor, 4096), (poor, 25), (knn.exact_knn(v, 6), 25)):
+        got = rows(knn.completed(v, graph_, 6, block=block))
+        assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+@pytest.mark.parametrize("query", ["knn_sharded"])
+def test_each_point_has_its_neighbours(spark, tmp_path, monkeypatch, query):
+    """The points asked have their neighbours and others don't: the query's lists are right all the same."""
+    from densegraph.plans import registry
+
+    points(spark, np.random.default_rng(8).normal(size=(400, 16))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(knn, "_found", lambda *a: 1.0)
+    monkeypatch.setattr(knn, "local_join", lambda sample, *a, **b: sample.sparkSession.createDataFrame([], "q long, nbr long, dist double"))
+    got = rows(registry.queries()[query](spark, str(tmp_path)), "q", "listed", "right", "half")
+    assert got == [(i, registry.K, True, True) for i in range(400)]
+
+
 def test_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(x))
