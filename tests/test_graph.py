@@ -121,7 +121,7 @@ def test_lists_are_completed(spark):
         assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
 
 
-@pytest.mark.parametrize("query", ["knn_sharded"])
+@pytest.mark.parametrize("query", ["knn_sharded", "nndescent_refine"])
 def test_each_point_has_its_neighbours(spark, tmp_path, monkeypatch, query):
     """The points asked have their neighbours and others don't: the query's lists are right all the same."""
     from densegraph.plans import registry
