@@ -133,6 +133,24 @@ def test_each_point_has_its_neighbours(spark, tmp_path, monkeypatch, query):
     assert got == [(i, registry.K, True, True) for i in range(400)]
 
 
+def test_merge_is_exact_after_one_descent(spark, tmp_path, monkeypatch):
+    """Points asked never have their neighbours: the descent isn't repeated with longer lists, and the merged lists are whole all the same."""
+    from densegraph.plans import registry
+
+    x = np.random.default_rng(9).normal(size=(300, 16))
+    v = points(spark, [*x, *[x[0]] * 20]).cache()
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    descents, join = [], knn.local_join
+    monkeypatch.setattr(knn, "_found", lambda *a: 0.0)
+    monkeypatch.setattr(knn, "local_join", lambda *a, **b: descents.append(1) or join(*a, **b))
+    a, b = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
+    poor = knn.exact_knn(b, 8).where("q > 5 and rank % 2 = 0")  # given lists that lack some, or all
+    assert rows(knn.merge_knn(a, knn.exact_knn(a, 8), b, poor, 8, exact=True), "q", "nbr", "rank") == rows(knn.exact_knn(v, 8), "q", "nbr", "rank")
+    assert len(descents) <= 11
+    got = rows(registry.queries()["knn_merge"](spark, str(tmp_path)), "q", "listed", "right", "half")
+    assert got == [(i, registry.K, True, True) for i in range(320)] and len(descents) <= 22
+
+
 def test_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(x))
