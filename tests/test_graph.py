@@ -151,6 +151,21 @@ def test_merge_is_exact_after_one_descent(spark, tmp_path, monkeypatch):
     assert got == [(i, registry.K, True, True) for i in range(320)] and len(descents) <= 22
 
 
+def test_join_gives_each_point_its_neighbours(spark, tmp_path, monkeypatch):
+    """A descent that finds nothing, points asked that say it found all, many copies: added points and old ones have whole lists."""
+    from densegraph.plans import registry
+
+    x = np.random.default_rng(10).normal(size=(300, 16))
+    v = points(spark, [*x, *[x[0]] * 50]).cache()
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(knn, "_found", lambda *a: 1.0)
+    monkeypatch.setattr(knn, "local_join", lambda sample, *a, **b: sample.sparkSession.createDataFrame([], "q long, nbr long, dist double"))
+    a, b = v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
+    assert rows(knn.join_knn(a, knn.exact_knn(a, 8), b, 8, exact=True), "q", "nbr", "rank") == rows(knn.exact_knn(v, 8), "q", "nbr", "rank")
+    got = rows(registry.queries()["knn_join"](spark, str(tmp_path)), "q", "listed", "right", "half")
+    assert got == [(i, registry.K, True, True) for i in range(350)]
+
+
 def test_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(x))
